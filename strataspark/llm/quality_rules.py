@@ -102,7 +102,7 @@ def ratio(t: Column, weights: list[float]) -> Column:
     return let(grams(t), total)
 
 
-def judge(docs: DataFrame, labels: DataFrame, threshold: float = -0.5, most_trusted: int = 20_000) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, threshold: float = -0.25, most_trusted: int = 20_000) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, llr."""
     weights = ratio_table(docs, labels, most_trusted)
 
