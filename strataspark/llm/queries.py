@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataspark.llm import mixing, quality_classifier, quality_rules, secrets, url_filter
-from strataspark.llm.base import table
+from strataspark.llm import jaccard, mixing, quality_classifier, quality_rules, secrets, url_filter, warc
+from strataspark.llm.base import materialize, shared_folder, table
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.cluster(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_classifier.classify(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels")))
@@ -31,5 +35,13 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"), secrets.train(secrets.samples(spark)))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mixing, op5_quality_classifier, op6_url_filter, op7_quality_rules, op9_secret_scan)}
-ORACLES: dict[str, str] = {"op1_source_mixing": mixing.MIX_SQL.format(docs="documents"), "op6_url_filter": url_filter.JUDGE_SQL}
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archives are removed once their records are read."""
+    folder = shared_folder(spark, "warc")
+    records = materialize(warc.archive(table(spark, sf_dir, "pages"), folder))
+    warc.remove(folder)
+    return records
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mixing, op2_ngram_jaccard, op5_quality_classifier, op6_url_filter, op7_quality_rules, op9_secret_scan, op10_warc)}
+ORACLES: dict[str, str] = {"op1_source_mixing": mixing.MIX_SQL.format(docs="documents"), "op2_ngram_jaccard": jaccard.CLUSTER_SQL, "op6_url_filter": url_filter.JUDGE_SQL}
