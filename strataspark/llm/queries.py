@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataspark.llm import jaccard, mixing, quality_classifier, quality_rules, secrets, url_filter, warc
+from strataspark.llm import jaccard, mixing, quality_classifier, quality_rules, secrets, substring_dedup, suffix_dedup, url_filter, warc
 from strataspark.llm.base import materialize, shared_folder, table
 
 
@@ -18,6 +18,10 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.cluster(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.kept_bytes(table(spark, sf_dir, "documents")).drop("starts", "ends")
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_classifier.classify(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels")))
@@ -31,6 +35,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.kept_words(table(spark, sf_dir, "documents")).drop("starts", "ends")
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"), secrets.train(secrets.samples(spark)))
 
@@ -43,5 +51,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mixing, op2_ngram_jaccard, op5_quality_classifier, op6_url_filter, op7_quality_rules, op9_secret_scan, op10_warc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mixing, op2_ngram_jaccard, op3_suffix_array_dedup, op5_quality_classifier, op6_url_filter, op7_quality_rules, op8_substring_dedup, op9_secret_scan, op10_warc)}
 ORACLES: dict[str, str] = {"op1_source_mixing": mixing.MIX_SQL.format(docs="documents"), "op2_ngram_jaccard": jaccard.CLUSTER_SQL, "op6_url_filter": url_filter.JUDGE_SQL}
