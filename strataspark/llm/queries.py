@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataspark.llm import jaccard, mixing, quality_classifier, quality_rules, secrets, substring_dedup, suffix_dedup, url_filter, warc
+from strataspark.llm import decontaminate, jaccard, mixing, quality_classifier, quality_rules, secrets, substring_dedup, suffix_dedup, url_filter, warc
 from strataspark.llm.base import materialize, shared_folder, table
 
 
@@ -22,6 +22,10 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.kept_bytes(table(spark, sf_dir, "documents")).drop("starts", "ends")
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_classifier.classify(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels")))
@@ -51,5 +55,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mixing, op2_ngram_jaccard, op3_suffix_array_dedup, op5_quality_classifier, op6_url_filter, op7_quality_rules, op8_substring_dedup, op9_secret_scan, op10_warc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mixing, op2_ngram_jaccard, op3_suffix_array_dedup, op4_benchmark_decontamination, op5_quality_classifier, op6_url_filter, op7_quality_rules, op8_substring_dedup, op9_secret_scan, op10_warc)}
 ORACLES: dict[str, str] = {"op1_source_mixing": mixing.MIX_SQL.format(docs="documents"), "op2_ngram_jaccard": jaccard.CLUSTER_SQL, "op6_url_filter": url_filter.JUDGE_SQL}
