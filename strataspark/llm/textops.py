@@ -103,8 +103,8 @@ def words_of(data: np.ndarray, bounds: np.ndarray, lower: bool = False, marks_pa
     return Words(hashes, np.searchsorted(starts, bounds), starts, ends)
 
 
-def slices(column: pa.Array, most_bytes: int = 4_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first, last, data, bounds) for runs of rows of a string column of about most_bytes at most; null is empty."""
+def slices(column: pa.Array, most_bytes: int = 4_000_000, most_rows: int = 4000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first, last, data, bounds) for runs of rows of a string column of about most_bytes and most_rows at most; null is empty."""
     column = column.cast(pa.large_string()) if not pa.types.is_large_string(column.type) else column
     if column.null_count:
         column = column.fill_null("")
@@ -117,6 +117,7 @@ def slices(column: pa.Array, most_bytes: int = 4_000_000) -> Iterator[tuple[int,
     first = 0
     while first < n:
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + most_bytes, side="right")) - 1)
+        last = min(last, first + most_rows)
         yield first, last, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         first = last
 
