@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,3 +52,13 @@ def count_words(text: Column) -> Column:
 
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
+
+
+def bitmap(df: DataFrame, *key: str, bits: int = 1 << 23) -> np.ndarray:
+    """Which of `bits` places the hashes of df's keys take, as 32-bit words: 1 MB, whatever the size of df."""
+    h = F.pmod(F.xxhash64(*key), F.lit(bits))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(32)).cast("int"))
+    rows = df.groupBy(F.floor(h / 32).cast("int").alias("w")).agg(F.bit_or(bit).alias("b")).toPandas()  # at most bits / 32 rows
+    out = np.zeros(bits // 32, dtype=np.uint32)
+    out[rows["w"].to_numpy()] = rows["b"].to_numpy().astype(np.uint32)
+    return out

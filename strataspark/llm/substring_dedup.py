@@ -7,7 +7,7 @@ is as long as the two blocks agree (a binary search over prefix hashes); a facto
 duplicate span. Parsing goes on with the first window that crosses the factor's end, so that windows that no single
 factor holds are checked at the boundary; a place without a match is a literal.
 
-Words are compared by hashes of 64 bits.
+Words are found by hashes of 64 bits and compared, as parts of windows of equal anchors, by 32 bits each.
 
 Defined cases: null texts have no words; texts shorter than the window lose nothing, copies or not; repeated rows are
 copies; an empty table gives an empty result; extra columns are ignored.
@@ -31,7 +31,7 @@ WINDOW, GRAM = 35, 8
 
 def match(values: np.ndarray, bounds: np.ndarray, h: np.ndarray, p: np.ndarray, many: np.ndarray, window: int) -> np.ndarray:
     """The matcher of repeats.py by parsing."""
-    prefix = prefix_hashes(values)
+    prefix = prefix_hashes(values.astype(np.uint64))
     begin, end = bounds[:-1], bounds[1:]
     slot = np.cumsum(many) - many
     member = np.repeat(np.arange(len(many)), many)
@@ -67,10 +67,10 @@ def _words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def kept_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group: int = repeats.GROUP) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, starts, ends: the removed runs of words of every document."""
-    kind = repeats.Symbols(_words, window, min(gram, window), np.uint64)
+    kind = repeats.Symbols(_words, window, min(gram, window), np.uint32)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     keyed = texts.select("doc_id", "text", *repeats.text_key(F.col("text")))
-    copies, spans = repeats.repeated(keyed, kind, match, group)
+    known = repeats.repeated(keyed, kind, match, group)
 
     def finish(batch: pa.RecordBatch, first: int, last: int, data: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
         rows: dict[str, list] = {k: [] for k in ("n_words", "n_removed", "kept_sha256", "starts", "ends")}
@@ -94,4 +94,4 @@ def kept_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group: i
         return pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, last - first), *[pa.array(v, t) for v, t in zip(rows.values(), kinds, strict=True)]], names=["doc_id", *rows])
 
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, n_removed long, kept_sha256 string, starts array<int>, ends array<int>"
-    return repeats.apply(keyed, copies, spans, ["doc_id"], finish, schema)
+    return repeats.apply(keyed, known, ["doc_id"], finish, schema)

@@ -121,7 +121,7 @@ def kept_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group: i
     kind = repeats.Symbols(_bytes, window, min(gram, window), np.uint8)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     keyed = texts.select("doc_id", "text", *repeats.text_key(F.col("text")))
-    copies, spans = repeats.repeated(keyed, kind, match, group)
+    known = repeats.repeated(keyed, kind, match, group)
 
     def finish(batch: pa.RecordBatch, first: int, last: int, data: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
         rows: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "starts", "ends")}
@@ -145,4 +145,4 @@ def kept_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group: i
         return pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, last - first), *[pa.array(v, t) for v, t in zip(rows.values(), kinds, strict=True)]], names=["doc_id", *rows])
 
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<int>, ends array<int>"
-    return repeats.apply(keyed, copies, spans, ["doc_id"], finish, schema)
+    return repeats.apply(keyed, known, ["doc_id"], finish, schema)
