@@ -103,7 +103,7 @@ def words_of(data: np.ndarray, bounds: np.ndarray, lower: bool = False, marks_pa
     return Words(hashes, np.searchsorted(starts, bounds), starts, ends)
 
 
-def slices(column: pa.Array, most_bytes: int = 4_000_000, most_rows: int = 4000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(column: pa.Array, most_bytes: int = 1_000_000, most_rows: int = 4000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first, last, data, bounds) for runs of rows of a string column of about most_bytes and most_rows at most; null is empty."""
     column = column.cast(pa.large_string()) if not pa.types.is_large_string(column.type) else column
     if column.null_count:
