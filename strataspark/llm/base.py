@@ -54,11 +54,22 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def bitmap(df: DataFrame, *key: str, bits: int = 1 << 23) -> np.ndarray:
-    """Which of `bits` places the hashes of df's keys take, as 32-bit words: 1 MB, whatever the size of df."""
-    h = F.pmod(F.xxhash64(*key), F.lit(bits))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(32)).cast("int"))
-    rows = df.groupBy(F.floor(h / 32).cast("int").alias("w")).agg(F.bit_or(bit).alias("b")).toPandas()  # at most bits / 32 rows
+def bitmap(df: DataFrame, *key: str) -> np.ndarray:
+    """Which places the hashes of df's keys take."""
+    return bitmap_of(df, F.xxhash64(*key))
+
+
+def bitmap_of(df: DataFrame, number: Column, bits: int = 1 << 23) -> np.ndarray:
+    """Which of `bits` places (a power of two) the numbers take, as 32-bit words: 1 MB, whatever the size of df."""
+    place = F.pmod(number, F.lit(bits))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(32)).cast("int"))
+    rows = df.groupBy(F.floor(place / 32).cast("int").alias("w")).agg(F.bit_or(bit).alias("b")).toPandas()  # at most bits / 32 rows
     out = np.zeros(bits // 32, dtype=np.uint32)
     out[rows["w"].to_numpy()] = rows["b"].to_numpy().astype(np.uint32)
     return out
+
+
+def in_bitmap(bits: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """Which numbers the bitmap may hold."""
+    place = numbers.astype(np.int64) & (len(bits) * 32 - 1)
+    return (bits[place >> 5] >> (place & 31).astype(np.uint32) & 1).astype(bool)
