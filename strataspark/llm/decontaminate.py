@@ -143,7 +143,7 @@ def match_text(h: np.ndarray, items: Items, hits: np.ndarray, n_words: int, simi
 
 
 def search(docs: DataFrame, ids: list, texts: list, keep: list[str], similarity: float = SIMILARITY, radius: int = RADIUS, width: int = SHINGLE) -> DataFrame:
-    """Kept columns of docs and items: array of struct(item_id, start, words), by item, of one part of the benchmark."""
+    """Kept columns of docs and _hits: array of struct(item_id, start, words), by item, of one part of the benchmark."""
     sent = docs.sparkSession.sparkContext.broadcast(index_items(ids, texts, width))
     columns = [*keep, *([] if "text" in keep else ["text"])]
     item = pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("words", pa.int32())])
@@ -165,14 +165,14 @@ def search(docs: DataFrame, ids: list, texts: list, keep: list[str], similarity:
                         for k, p, m in match_text(h[at[i] : at[i + 1]], items, mine, int(w.firsts[i + 1] - w.firsts[i]), similarity, radius, width):
                             found[i].append({"item_id": items.ids[k], "start": p, "words": m})
                 out += found
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(out, pa.list_(item))], names=[*keep, "items"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(out, pa.list_(item))], names=[*keep, "_hits"])
 
     kinds = dict(docs.dtypes)
-    return docs.select(*columns).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", items array<struct<item_id:long,start:int,words:int>>")
+    return docs.select(*columns).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", _hits array<struct<item_id:long,start:int,words:int>>")
 
 
 def find(docs: DataFrame, benchmark: DataFrame, keep: list[str], similarity: float = SIMILARITY, radius: int = RADIUS, most_words: int = 2_000_000) -> DataFrame:
-    """Kept columns and items over the whole benchmark. The benchmark is read in parts of at most most_words words;
+    """Kept columns and _hits over the whole benchmark. The benchmark is read in parts of at most most_words words;
     from the second part on, each part's items are added to those found before, in the same row."""
     out = docs
     parts: list[tuple[list, list]] = [([], [])]
@@ -188,23 +188,23 @@ def find(docs: DataFrame, benchmark: DataFrame, keep: list[str], similarity: flo
     text = [] if "text" in keep else ["text"]
     for k, (ids, texts) in enumerate(parts):
         last = k == len(parts) - 1
-        before = [] if k == 0 else ["_items"]
+        before = [] if k == 0 else ["_before"]
         out = search(out, ids, texts, [*keep, *before, *([] if last else text)], similarity, radius)
         if before:
-            out = out.withColumn("items", F.concat("_items", "items")).drop("_items")
+            out = out.withColumn("_hits", F.concat("_before", "_hits")).drop("_before")
         if not last:
-            out = out.withColumnRenamed("items", "_items")
-    return out.select(*keep, F.array_sort("items").alias("items"))
+            out = out.withColumnRenamed("_hits", "_before")
+    return out.select(*keep, F.array_sort("_hits").alias("_hits"))
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, contaminated, n_items, item_ids, spans (item:first word:words, comma-joined)."""
     found = find(docs, benchmark, ["doc_id"])
-    ids = F.array_sort(F.array_distinct(F.transform("items", lambda x: x["item_id"])))
-    spans = F.array_join(F.transform("items", lambda x: F.concat_ws(":", x["item_id"].cast("string"), x["start"].cast("string"), x["words"].cast("string"))), ",")
-    return found.select("doc_id", (F.size("items") > 0).alias("contaminated"), F.size("items").cast("long").alias("n_items"), ids.alias("item_ids"), spans.alias("spans"))
+    ids = F.array_sort(F.array_distinct(F.transform("_hits", lambda x: x["item_id"])))
+    spans = F.array_join(F.transform("_hits", lambda x: F.concat_ws(":", x["item_id"].cast("string"), x["start"].cast("string"), x["words"].cast("string"))), ",")
+    return found.select("doc_id", (F.size("_hits") > 0).alias("contaminated"), F.size("_hits").cast("long").alias("n_items"), ids.alias("item_ids"), spans.alias("spans"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no item, all columns."""
-    return find(docs, benchmark, docs.columns).where(F.size("items") == 0).select(*docs.columns)
+    return find(docs, benchmark, docs.columns).where(F.size("_hits") == 0).select(*docs.columns)
