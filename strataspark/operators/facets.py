@@ -101,20 +101,23 @@ def ellipse_disk(trace: Column, area: Column, v1: V3, v2: V3, n: V3) -> tuple[Co
 def characterise(points: DataFrame, by: str, method: str = "convex", alpha: float = 1.0) -> DataFrame:
     """A row a facet: n, plane, dip, strike, curvature, area, centroid, trace and its ends, ellipse, roughness, valid.
     Facets without a plane or polygon have valid false and null in what depends on it."""
-    planes = cut_lineage(with_orientation(fit_planes(points, [by])))
+    planes = cut_lineage(with_orientation(cut_lineage(fit_planes(points, [by]))))
     polygons = cut_lineage(hull_polygons(projected(points, planes, by), by, method=method, alpha=alpha))
     trace = traces(polygons, by)
     rough = residuals(points, planes, [by]).groupBy(by).agg(F.stddev_pop("residual").alias("rms"), (F.max("residual") - F.min("residual")).alias("zrange"))
     joined = planes.join(polygons, by, "left").join(trace, by, "left").join(rough, by, "left")
     n, origin = vec("a", "b", "c"), vec("mx", "my", "mz")
     u, v = basis_by_z(n)
-    at = lambda s, t: from_plane(F.col(s), F.col(t), origin, u, v)
-    one, two, center = at("s1", "t1"), at("s2", "t2"), at("cs", "ct")
-    a, b, long_axis, short_axis = ellipse_disk(F.col("length"), F.col("area"), one, two, n)
-    return joined.select(
-        by, "n", "a", "b", "c", "d", "dip", "strike", "curvature", "area", F.col("length").alias("trace_length"), center.struct().alias("center"), one.struct().alias("v1"), two.struct().alias("v2"),
-        a.alias("ellip_a"), b.alias("ellip_b"), long_axis.struct().alias("long_axis"), short_axis.struct().alias("short_axis"), "rms", "zrange", F.transform(F.arrays_zip("s", "t"), lambda e: from_plane(e["s"], e["t"], origin, u, v).struct()).alias("polygon"), F.col("area").isNotNull().alias("valid"),
-    )
+    # steps as columns: each is computed once a row and used by name
+    framed = joined.withColumn("_u", u.struct())
+    framed = framed.withColumn("_v", n.cross(vec_of("_u")).struct())
+    at = lambda s, t: from_plane(s, t, origin, vec_of("_u"), vec_of("_v"))
+    framed = framed.withColumns({k: at(F.col(s), F.col(t)).struct() for k, s, t in (("v1", "s1", "t1"), ("v2", "s2", "t2"), ("center", "cs", "ct"))})
+    a, b, long_axis, _ = ellipse_disk(F.col("length"), F.col("area"), vec_of("v1"), vec_of("v2"), n)
+    framed = framed.withColumn("ellip_a", a).withColumn("ellip_b", b).withColumn("long_axis", long_axis.struct())
+    framed = framed.withColumn("short_axis", n.cross(vec_of("long_axis")).struct())
+    polygon = F.transform(F.arrays_zip("s", "t"), lambda e: at(e["s"], e["t"]).struct())
+    return framed.select(by, "n", "a", "b", "c", "d", "dip", "strike", "curvature", "area", F.col("length").alias("trace_length"), "center", "v1", "v2", "ellip_a", "ellip_b", "long_axis", "short_axis", "rms", "zrange", polygon.alias("polygon"), F.col("area").isNotNull().alias("valid"))
 
 
 def tessellate(disks: DataFrame, by: str, n: int = 60) -> DataFrame:
