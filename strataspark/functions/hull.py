@@ -14,13 +14,14 @@ def hull2(p: np.ndarray) -> np.ndarray:
     order = [i for k, i in enumerate(order) if k == 0 or (p[i] != p[order[k - 1]]).any()]
     if len(order) < 3:
         return np.array(order, dtype=np.int64)
+    tol = 1e-12 * float(np.ptp(p, axis=0).max()) ** 2
 
     def chain(ids: list[int]) -> list[int]:
         out: list[int] = []
         for i in ids:
             while len(out) > 1:
                 o, a, b = p[out[-2]], p[out[-1]], p[i]
-                if (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0]) > 0:
+                if (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0]) > tol:
                     break
                 out.pop()
             out.append(i)

@@ -153,11 +153,11 @@ def write_ply_binary(points: DataFrame, folder: str, by: str, properties: list[t
         head = "\n".join(["ply", "format binary_little_endian 1.0", f"element vertex {len(rows)}", *[f"property {t} {p}" for p, t in properties], "end_header", ""])
         fs, top = pafs.FileSystem.from_uri(folder)
         fs.create_dir(top, recursive=True)
-        name, part = f"{top}/{key[0]}.ply", f"{top}/.{key[0]}-{uuid.uuid4().hex}"
+        name, part = f"{top}/{key[0].as_py()}.ply", f"{top}/.{key[0].as_py()}-{uuid.uuid4().hex}"
         with fs.open_output_stream(part) as out:
             out.write(head.encode() + rows.tobytes())
         fs.move(part, name)
-        return pa.table({by: [key[0].as_py() if hasattr(key[0], "as_py") else key[0]], "path": [name], "n": [len(rows)]})
+        return pa.table({by: table.column(by).slice(0, 1), "path": [name], "n": [len(rows)]})
 
     kind = dict(points.dtypes)[by]
     return points.select(by, *[p for p, _ in properties]).groupBy(by).applyInArrow(run, f"{by} {kind}, path string, n long")
