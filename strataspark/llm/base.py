@@ -60,7 +60,8 @@ def bitmap(df: DataFrame, *key: str) -> np.ndarray:
 
 
 def bitmap_of(df: DataFrame, number: Column, bits: int = 1 << 23) -> np.ndarray:
-    """Which of `bits` places (a power of two) the numbers take, as 32-bit words: 1 MB, whatever the size of df."""
+    """Which of `bits` places (a power of two) the numbers take, as 32-bit words: bits / 8 bytes, whatever the size
+    of df."""
     place = F.pmod(number, F.lit(bits))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(32)).cast("int"))
     rows = df.groupBy(F.floor(place / 32).cast("int").alias("w")).agg(F.bit_or(bit).alias("b")).toPandas()  # at most bits / 32 rows
