@@ -123,7 +123,7 @@ def maximal_cliques(edges: DataFrame, least: int = 3, most_nodes: int = 5000) ->
         if len(adjacent) > most_nodes:
             raise ValueError(f"a component of {len(adjacent)} nodes; the bound is {most_nodes}")
         found = cliques_of(adjacent, least)
-        return pd.DataFrame({"component": [pdf["component"].iloc[0]] * len(found), "clique": found})
+        return pd.DataFrame({"component": [pdf["component"].iloc[0]] * len(found), "clique": pd.Series(found, dtype=object)})
 
     return _with_component(edges).groupBy("component").applyInPandas(run, "component long, clique array<long>")
 
@@ -145,7 +145,7 @@ def exclusive_cliques(edges: DataFrame, least: int = 3) -> DataFrame:
             if len(free) >= least:
                 used.update(free)
                 rows.append(free)
-        return pd.DataFrame({"component": [pdf["component"].iloc[0]] * len(rows), "place": range(len(rows)), "clique": rows})
+        return pd.DataFrame({"component": [pdf["component"].iloc[0]] * len(rows), "place": list(range(len(rows))), "clique": pd.Series(rows, dtype=object)})
 
     taken = _with_component(edges).groupBy("component").applyInPandas(run, "component long, place int, clique array<long>")
     return taken.withColumn("block_id", F.row_number().over(Window.orderBy("component", "place")) - 1).select("block_id", "component", "clique")
@@ -198,7 +198,7 @@ def cycle_bases(edges: DataFrame, by: str) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rings = cycle_basis_of(_neighbours(pdf))
-        return pd.DataFrame({by: [pdf[by].iloc[0]] * len(rings), "ring": rings})
+        return pd.DataFrame({by: [pdf[by].iloc[0]] * len(rings), "ring": pd.Series(rings, dtype=object)})
 
     return edges.select(by, F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).groupBy(by).applyInPandas(run, f"{by} {dict(edges.dtypes)[by]}, ring array<long>")
 
