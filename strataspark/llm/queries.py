@@ -18,6 +18,11 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.cluster(table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The join's own output: each document's number of links."""
+    return jaccard.link_counts(table(spark, sf_dir, "documents"))
+
+
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.kept_bytes(table(spark, sf_dir, "documents")).drop("starts", "ends")
 
@@ -55,5 +60,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mixing, op2_ngram_jaccard, op3_suffix_array_dedup, op4_benchmark_decontamination, op5_quality_classifier, op6_url_filter, op7_quality_rules, op8_substring_dedup, op9_secret_scan, op10_warc)}
-ORACLES: dict[str, str] = {"op1_source_mixing": mixing.MIX_SQL.format(docs="documents"), "op2_ngram_jaccard": jaccard.CLUSTER_SQL, "op6_url_filter": url_filter.JUDGE_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mixing, op2_ngram_jaccard, op2_ngram_jaccard_links, op3_suffix_array_dedup, op4_benchmark_decontamination, op5_quality_classifier, op6_url_filter, op7_quality_rules, op8_substring_dedup, op9_secret_scan, op10_warc)}
+ORACLES: dict[str, str] = {"op1_source_mixing": mixing.MIX_SQL.format(docs="documents"), "op2_ngram_jaccard": jaccard.CLUSTER_SQL, "op2_ngram_jaccard_links": jaccard.LINKS_SQL, "op6_url_filter": url_filter.JUDGE_SQL}
