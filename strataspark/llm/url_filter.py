@@ -24,6 +24,7 @@ RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow",
 
 _LINK = r"(?i)<link\b[^>]*>"
 _META = r"(?i)<meta\b[^>]*>"
+_BASE = r"(?i)<base\b[^>]*\bhref[^>]*>"
 _CANONICAL = r"""(?i)\brel\s*=\s*["']?canonical\b"""
 _REFRESH = r"""(?i)\bhttp-equiv\s*=\s*["']?refresh\b"""
 _HREF = r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)"""
@@ -49,12 +50,44 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
     return found
 
 
+def without_dots(path: Column) -> Column:
+    """A path without its segments . and .. (which takes away the one before)."""
+    part = F.split(path, "/", -1)
+    dots = lambda x: x.isin(".", "..")
+    start = F.array().cast("array<string>")
+    # the first part is what stands before the first slash: empty, and never taken away
+    step = lambda a, x: F.when(x == "..", F.when(F.size(a) > 1, F.slice(a, 1, F.size(a) - 1)).otherwise(a)).when(x == ".", a).otherwise(F.concat(a, F.array(x)))
+    kept = F.array_join(F.aggregate(part, start, step), "/")
+    return F.when(F.exists(part, dots), F.concat(kept, F.when(dots(F.element_at(part, -1)), "/").otherwise(""))).otherwise(path)
+
+
+def resolve(base: Column, target: Column) -> Column:
+    """The url that a target means on a page: absolute as it is, else by the base's scheme, host and directory; null
+    for other schemes (mailto:), for no target and for a relative one where the base is not absolute."""
+    part = lambda k: F.regexp_extract(base, r"(?s)^([A-Za-z][A-Za-z0-9+.-]*:)(//[^/?#]*)([^?#]*)(\??[^#]*)", k)
+    scheme, host, path, query = (part(k) for k in (1, 2, 3, 4))
+    bare, rest = F.regexp_extract(target, r"(?s)^([^?#]*)(.*)$", 1), F.regexp_extract(target, r"(?s)^([^?#]*)(.*)$", 2)
+    folder = F.when(path == "", "/").otherwise(F.regexp_extract(path, r"(?s)^(.*/)[^/]*$", 1))
+    onto = (
+        F.when(target.startswith("//"), F.concat(scheme, F.regexp_extract(target, r"(?s)^(//[^/?#]*)", 1), without_dots(F.regexp_extract(target, r"(?s)^//[^/?#]*([^?#]*)", 1)), rest))
+        .when(target.startswith("/"), F.concat(scheme, host, without_dots(bare), rest))
+        .when(target.startswith("?"), F.concat(scheme, host, path, target))
+        .when(target.startswith("#"), F.concat(scheme, host, path, query, target))
+        .otherwise(F.concat(scheme, host, without_dots(F.concat(folder, bare)), rest))
+    )
+    return F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target).when((target != "") & ~target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") & (scheme != ""), onto)
+
+
 def links(pages: DataFrame) -> DataFrame:
-    """(url, alias): canonical links and redirects by meta refresh, to absolute urls."""
+    """(url, alias): canonical links and redirects by meta refresh. Relative targets are taken from the page's <base>,
+    or else its url."""
     html = F.coalesce(F.col("html"), F.lit(""))
     tags = lambda tag, which, get: F.transform(F.filter(F.regexp_extract_all(html, F.lit(tag), F.lit(0)), lambda t: t.rlike(which)), lambda t: F.regexp_extract(t, get, 1))
     found = F.concat(tags(_LINK, _CANONICAL, _HREF), tags(_META, _REFRESH, _TARGET))
-    return pages.where(html.rlike(_CANONICAL) | html.rlike(_REFRESH)).select("url", F.explode(found).alias("alias")).where(F.col("alias").contains("://"))
+    base = F.regexp_extract(F.regexp_extract(html, _BASE, 0), _HREF, 1)
+    some = pages.where(html.rlike(_CANONICAL) | html.rlike(_REFRESH)).select("url", base.alias("base"), F.explode(found).alias("target"))
+    onto = some.select("url", "target", F.coalesce(resolve(F.col("url"), F.col("base")), "url").alias("base"))
+    return onto.select("url", resolve(F.col("base"), F.col("target")).alias("alias")).where("alias IS NOT NULL")
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, edges: DataFrame | None = None) -> DataFrame:
