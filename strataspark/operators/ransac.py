@@ -7,6 +7,9 @@ fixed length (iterations), and the counts are sums of arrays' entries by positio
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,15 +102,19 @@ def peel(points: DataFrame, by: list[str], k: int, threshold: float, iterations:
     return out
 
 
-def extract_all(points: DataFrame, threshold: float, iterations: int, share: float = 0.02, stop: int = 1000, seed: int = 0, most_planes: int = 20) -> DataFrame:
-    """Planes of one cloud until at most `stop` points are left or a plane holds under `share` of those left:
-    place, a, b, c, d (d <= 0), inliers, left."""
+def extract_all(points: DataFrame, threshold: float, iterations: int, share: float = 0.02, stop: int = 1000, seed: int = 0) -> DataFrame:
+    """Planes of one cloud, however many, until at most `stop` points are left or a plane holds under `share` of those
+    left: place, a, b, c, d (d <= 0), inliers, left. Each plane takes points away, so the rounds end."""
     left = cut_lineage(points.withColumn("_g", F.lit(0)))
     out = None
-    for place in range(most_planes):
+    before = math.inf
+    for place in itertools.count():
         n = left.count()
         if n <= stop:
             break
+        if n >= before:
+            raise RuntimeError("extract_all: a plane took no point")
+        before = n
         best = cut_lineage(best_planes(left, ["_g"], threshold, iterations, seed + place, strict=True))
         row = best.first()
         if row is None or row.inliers < share * n:
@@ -115,6 +122,8 @@ def extract_all(points: DataFrame, threshold: float, iterations: int, share: flo
         turn = F.when(F.col("d") > 0, -1.0).otherwise(1.0)
         plane = best.select(F.lit(place).alias("place"), *[(F.col(c) * turn).alias(c) for c in "abcd"], "inliers", F.lit(n).alias("left"))
         out = plane if out is None else out.unionByName(plane)
+        if place % 20 == 19:
+            out = cut_lineage(out)  # the plan stays short
         left = cut_lineage(left.where(F.abs(row.a * F.col("x") + row.b * F.col("y") + row.c * F.col("z") + row.d) >= threshold))
     return out
 
