@@ -11,7 +11,9 @@ A window without any shingle of an item has similarity 0, so only windows around
 fingerprinted; finding those is one lookup a word, and the rest of the corpus costs no more.
 
 Words are runs of characters that are neither space nor ASCII marks, A-Z lower-cased. Items with fewer words than a
-shingle are one shingle; items without words match nothing.
+shingle are one shingle of their own length, which every run of as many words of a text is compared with; items
+without words match nothing. Of the windows of an item that verify, those are kept that overlap no better one (no
+earlier one, if as good).
 
 The items' shingles are sent to the executors in parts of at most `most_shingles`, each part a pass of its own, so
 that no broadcast grows without bound.
@@ -22,6 +24,7 @@ repeated rows; empty tables give clean documents or an empty result; extra colum
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -81,6 +84,7 @@ class Items:
     prints: np.ndarray
     vocabulary: np.ndarray
     of: list[np.ndarray]  # the items of each shingle of the vocabulary
+    short: dict[int, tuple[np.ndarray, list[np.ndarray]]]  # by words, for items under a shingle: vocabulary and items
 
 
 def index_items(ids: list, texts: list, width: int = SHINGLE) -> Items:
@@ -97,18 +101,35 @@ def index_items(ids: list, texts: list, width: int = SHINGLE) -> Items:
                 sets.append(h[at[i] : at[i + 1]])
     if not sets:
         none = np.zeros(0, dtype=np.uint64)
-        return Items([], np.zeros(0, dtype=np.int64), [], none, none, [])
+        return Items([], np.zeros(0, dtype=np.int64), [], none, none, [], {})
     prints = fingerprints(np.array([_signs(s).sum(axis=0) for s in sets]))
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    flat = np.concatenate(sets)
-    vocabulary, inverse = np.unique(flat, return_inverse=True)
-    order = np.argsort(inverse, kind="stable")
-    of = [np.unique(x) for x in np.split(owner[order], np.cumsum(np.bincount(inverse))[:-1])]
-    return Items(kept, np.array(words), sets, prints, vocabulary, of)
+    n_words = np.array(words)
+
+    def vocabulary(some: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The shingles of some items, and the items of each."""
+        if not len(some):
+            return np.zeros(0, dtype=np.uint64), []
+        owner = np.repeat(some, [len(sets[i]) for i in some])
+        known, inverse = np.unique(np.concatenate([sets[i] for i in some]), return_inverse=True)
+        order = np.argsort(inverse, kind="stable")
+        return known, [np.unique(x) for x in np.split(owner[order], np.cumsum(np.bincount(inverse))[:-1])]
+
+    short = {int(m): vocabulary(np.flatnonzero(n_words == m)) for m in np.unique(n_words[n_words < width])}
+    return Items(kept, n_words, sets, prints, *vocabulary(np.flatnonzero(n_words >= width)), short)
+
+
+def apart(windows: list[tuple[float, int]], words: int) -> list[int]:
+    """Starts of the windows (similarity, start) that overlap no better one that is kept, in order."""
+    kept: list[int] = []
+    for _, p in sorted(windows, key=lambda w: (-w[0], w[1])):
+        at = bisect.bisect_left(kept, p)
+        if (at == 0 or p - kept[at - 1] >= words) and (at == len(kept) or kept[at] - p >= words):
+            kept.insert(at, p)
+    return kept
 
 
 def match_text(h: np.ndarray, items: Items, hits: np.ndarray, n_words: int, similarity: float, radius: int, width: int = SHINGLE) -> list[tuple[int, int, int]]:
-    """(item, first word, words) of the best window of each item that a text contains. h: hashes of the runs of
+    """(item, first word, words) of the windows of each item that a text contains. h: hashes of the runs of
     `width` words at each place; hits: places of h that some item has."""
     found = []
     place = np.searchsorted(items.vocabulary, h[hits])
@@ -124,7 +145,7 @@ def match_text(h: np.ndarray, items: Items, hits: np.ndarray, n_words: int, simi
         near_hits = np.unique(np.clip((np.array(at)[:, None] - np.arange(k)[None, :]).ravel(), 0, len(h) - k))
         # windows over consecutive places share prefix sums
         low, high = int(near_hits[0]), int(near_hits[-1]) + k
-        best = None
+        windows = []
         for start in range(low, high - k + 1, 4096):
             stop = min(start + 4096, high - k + 1)
             inside = near_hits[np.searchsorted(near_hits, start) : np.searchsorted(near_hits, stop)]
@@ -135,18 +156,28 @@ def match_text(h: np.ndarray, items: Items, hits: np.ndarray, n_words: int, simi
             ok = near(prints, items.prints[item : item + 1], radius)[:, 0]
             for p in inside[ok].tolist():
                 s = weighted_similarity(h[p : p + k], items.shingles[item])
-                if s >= similarity and (best is None or s > best[0]):
-                    best = (s, p)
-        if best is not None:
-            found.append((item, best[1], m))
+                if s >= similarity:
+                    windows.append((s, p))
+        found += [(item, p, m) for p in apart(windows, m)]
     return found
 
 
+def _places(vocabulary: np.ndarray, h: np.ndarray, text: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """(text, first and last of its hashes, places among them) for the texts with hashes of the vocabulary."""
+    if not len(vocabulary):
+        return
+    hits = np.flatnonzero(vocabulary[np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)] == h)
+    for i in np.unique(text[hits]).tolist():
+        a, b = np.searchsorted(text, (i, i + 1)).tolist()
+        yield i, a, b, hits[np.searchsorted(hits, a) : np.searchsorted(hits, b)] - a
+
+
 def search(docs: DataFrame, ids: list, texts: list, keep: list[str], similarity: float = SIMILARITY, radius: int = RADIUS, width: int = SHINGLE) -> DataFrame:
-    """Kept columns of docs and _hits: array of struct(item_id, start, words), by item, of one part of the benchmark."""
+    """Kept columns of docs and _hits: array of struct(item_id, start, words, nth), nth counting the windows of one row of
+    the benchmark from 0, of one part of the benchmark."""
     sent = docs.sparkSession.sparkContext.broadcast(index_items(ids, texts, width))
     columns = [*keep, *([] if "text" in keep else ["text"])]
-    item = pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("words", pa.int32())])
+    item = pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("words", pa.int32()), ("nth", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = sent.value
@@ -154,21 +185,31 @@ def search(docs: DataFrame, ids: list, texts: list, keep: list[str], similarity:
             out: list[list] = []
             for first, last, data, bounds in slices(batch.column("text")):
                 found: list[list] = [[] for _ in range(last - first)]
+                w = words_of(data, bounds, lower=True, marks_part=True) if items.ids else None
+
+                def add(i: int, hits: list[tuple[int, int, int]], found: list[list] = found) -> None:
+                    before: dict[int, int] = {}
+                    for k, p, m in hits:
+                        before[k] = before.get(k, -1) + 1
+                        found[i].append({"item_id": items.ids[k], "start": p, "words": m, "nth": before[k]})
+
                 if len(items.vocabulary):
-                    w = words_of(data, bounds, lower=True, marks_part=True)
                     h, text = shingles(w.hashes, w.firsts, width)
-                    where = np.minimum(np.searchsorted(items.vocabulary, h), len(items.vocabulary) - 1)
-                    hits = np.flatnonzero(items.vocabulary[where] == h)
-                    at = np.searchsorted(text, np.arange(last - first + 1))
-                    for i in np.unique(text[hits]).tolist():
-                        mine = hits[np.searchsorted(hits, at[i]) : np.searchsorted(hits, at[i + 1])] - at[i]
-                        for k, p, m in match_text(h[at[i] : at[i + 1]], items, mine, int(w.firsts[i + 1] - w.firsts[i]), similarity, radius, width):
-                            found[i].append({"item_id": items.ids[k], "start": p, "words": m})
+                    for i, a, b, mine in _places(items.vocabulary, h, text):
+                        add(i, match_text(h[a:b], items, mine, int(w.firsts[i + 1] - w.firsts[i]), similarity, radius, width))
+                for m, (known, of) in items.short.items():
+                    h, text = shingles(w.hashes, w.firsts, m)
+                    for i, a, _, mine in _places(known, h, text):
+                        windows: dict[int, list[tuple[float, int]]] = {}
+                        for p in mine.tolist():
+                            for k in of[np.searchsorted(known, h[a + p])].tolist():
+                                windows.setdefault(k, []).append((1.0, p))
+                        add(i, [(k, p, m) for k, at in windows.items() for p in apart(at, m)])
                 out += found
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(out, pa.list_(item))], names=[*keep, "_hits"])
 
     kinds = dict(docs.dtypes)
-    return docs.select(*columns).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", _hits array<struct<item_id:long,start:int,words:int>>")
+    return docs.select(*columns).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", _hits array<struct<item_id:long,start:int,words:int,nth:int>>")
 
 
 def find(docs: DataFrame, benchmark: DataFrame, keep: list[str], similarity: float = SIMILARITY, radius: int = RADIUS, most_words: int = 2_000_000) -> DataFrame:
@@ -202,7 +243,7 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = find(docs, benchmark, ["doc_id"])
     ids = F.array_sort(F.array_distinct(F.transform("_hits", lambda x: x["item_id"])))
     spans = F.array_join(F.transform("_hits", lambda x: F.concat_ws(":", x["item_id"].cast("string"), x["start"].cast("string"), x["words"].cast("string"))), ",")
-    return found.select("doc_id", (F.size("_hits") > 0).alias("contaminated"), F.size("_hits").cast("long").alias("n_items"), ids.alias("item_ids"), spans.alias("spans"))
+    return found.select("doc_id", (F.size("_hits") > 0).alias("contaminated"), F.size(F.filter("_hits", lambda x: x["nth"] == 0)).cast("long").alias("n_items"), ids.alias("item_ids"), spans.alias("spans"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
