@@ -1,11 +1,11 @@
 """Quality rules: counts that a reader of the text would make, and a hashed n-gram log-likelihood ratio.
 
 Tokens (runs of letters and digits, runs of other marks) and pairs of them are hashed into a fixed number of buckets. Two multinomials over the buckets are counted:
-that of the raw corpus (every document) and that of a trusted target (documents labelled good, at most `most_trusted`
-of them, those with the least MD5 of the id). A document's ratio is the mean over its n-grams of the log of
+that of the raw corpus (every document) and that of a trusted target (every document labelled good). A document's ratio is the mean over its n-grams of the log of
 target share over raw share; documents whose mean is under the threshold are not kept.
 
-The buckets' weights are a table of fixed size (2^12 numbers), so they may go into the plan as a literal. Everything
+The ids of good documents are sent to the executors in parts of bounded size; from the second part on, each part is a
+pass of its own that reads only its documents' tokens. The buckets' weights are a table of fixed size (2^12 numbers), so they may go into the plan as a literal. Everything
 else stays in one scan without a shuffle of texts.
 
 Defined cases: a null text has no words; without labels the ratio is 0 for every text and the base rules decide;
@@ -79,16 +79,23 @@ def grams(w: Column) -> Column:
     )
 
 
-def ratio_table(docs: DataFrame, labels: DataFrame, most_trusted: int = 20_000) -> list[float]:
-    """log(target share / raw share) for each bucket, both with one added to every count."""
-    trusted = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.md5(F.col("doc_id").cast("string"))).limit(most_trusted)
-    flags = trusted.select(F.col("doc_id").alias("trusted_id"))
-    tallied = docs.select("doc_id", "text").join(F.broadcast(flags), F.col("doc_id") == F.col("trusted_id"), "left").select(F.col("trusted_id").isNotNull().alias("good"), F.explode(let(tokens(F.col("text")), grams)).alias("bucket"))
-    counted = tallied.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum(F.col("good").cast("long")).alias("target")).collect()  # at most BUCKETS rows
+def ratio_table(docs: DataFrame, labels: DataFrame, part: int = 500_000) -> list[float]:
+    """log(target share / raw share) for each bucket, both with one added to every count. part: about how many ids
+    of good documents are broadcast at once."""
+    trusted = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("trusted_id")).distinct()
+    parts = max(1, math.ceil(trusted.count() / part))
+    texts = docs.select("doc_id", "text")
+
+    def tally(k: int, how: str) -> list:
+        flags = F.broadcast(trusted.where(F.pmod(F.xxhash64("trusted_id"), F.lit(parts)) == k))
+        tallied = texts.join(flags, F.col("doc_id") == F.col("trusted_id"), how).select(F.col("trusted_id").isNotNull().alias("good"), F.explode(let(tokens(F.col("text")), grams)).alias("bucket"))
+        return tallied.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum(F.col("good").cast("long")).alias("target")).collect()  # at most BUCKETS rows
+
     raw, target = [1] * BUCKETS, [1] * BUCKETS
-    for row in counted:
-        raw[row.bucket] += row.raw
-        target[row.bucket] += row.target
+    for k in range(parts):
+        for row in tally(k, "left" if k == 0 else "inner"):
+            raw[row.bucket] += row.raw if k == 0 else 0
+            target[row.bucket] += row.target
     if sum(target) == BUCKETS:
         return [0.0] * BUCKETS
     total = math.log(sum(target)) - math.log(sum(raw))
@@ -102,9 +109,9 @@ def ratio(t: Column, weights: list[float]) -> Column:
     return let(grams(t), total)
 
 
-def judge(docs: DataFrame, labels: DataFrame, threshold: float = -0.25, most_trusted: int = 20_000) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, threshold: float = -0.25) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, llr."""
-    weights = ratio_table(docs, labels, most_trusted)
+    weights = ratio_table(docs, labels)
 
     def judged(w: Column) -> Column:
         return F.struct(*[c.alias(n) for n, c in base_rules(F.col("text"), w).items()], let(tokens(F.col("text")), lambda t: ratio(t, weights)).alias("llr"))
