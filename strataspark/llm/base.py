@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,24 +19,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _top(spark: SparkSession) -> str:
+    """The folder that all executors share, from spark.checkpoint.dir. A temporary one of our own only where none is
+    named and driver and executors are one process, as in tests; elsewhere that is an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named is None and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    return named or tempfile.mkdtemp(prefix="strataspark-")
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """URI of a new folder below the one that spark.checkpoint.dir names; a temporary one only where none is named."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="strataspark-")
+    """URI of a new folder below the shared one."""
+    top = _top(spark)
     return f"{top if '://' in top or top.startswith('file:') else 'file://' + top}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that spark.checkpoint.dir names.
-
-    A folder of our own is set only where the session names none (tests and local runs).
-    """
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="strataspark-checkpoint-"))
+        sc.setCheckpointDir(_top(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of ours, by way of the file system that its URI names."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Store:
+    """Intermediate tables as Parquet below the shared folder: they outlive executors, cut the lineage, and go with
+    clear()."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder, self.many = spark, shared_folder(spark, name), 0
+
+    def put(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{self.many}"
+        self.many += 1
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        remove(self.spark, self.folder)
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once a row, also where body uses it inside lambdas."""
     return F.transform(F.array(value), body)[0]
@@ -70,6 +99,12 @@ def bitmap_of(df: DataFrame, number: Column, bits: int = 1 << 23) -> np.ndarray:
     return out
 
 
+def bits_for(many: int, least: int = 1 << 16, most: int = 1 << 27) -> int:
+    """Size of a bitmap of `many` entries: some sixteenth of the places are taken, up to 16 MB. A table that needs more
+    gets a fuller bitmap, which lets more rows through to the joins behind it."""
+    return min(max(1 << max(16 * many - 1, 1).bit_length(), least), most)
+
+
 def in_bitmap(bits: np.ndarray, numbers: np.ndarray) -> np.ndarray:
     """Which numbers the bitmap may hold."""
     place = numbers.astype(np.int64) & (len(bits) * 32 - 1)

@@ -6,8 +6,6 @@ at its anchors in this way; the order of the suffixes that start one byte earlie
 that byte, and so on through every start that the anchor marks. Equal windows are neighbours in such an order.
 Neighbours of equal hashes are compared byte by byte, so that no collision removes anything.
 
-Windows of anchors with very many occurrences are compared by 64-bit hashes of their bytes.
-
 Defined cases: a null text is an empty one; texts shorter than the window lose nothing, copies or not; repeated rows
 are copies; an empty table gives an empty result; extra columns are ignored.
 """
@@ -17,9 +15,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from strataspark.llm import repeats
 from strataspark.llm.textops import _SYMBOL, prefix_hashes, range_hashes
@@ -78,8 +74,9 @@ def order_suffixes(values: np.ndarray, prefix: np.ndarray, start: np.ndarray, en
     return order
 
 
-def match(values: np.ndarray, bounds: np.ndarray, h: np.ndarray, p: np.ndarray, many: np.ndarray, window: int) -> np.ndarray:
+def match(pieces: repeats.Symbols, group: np.ndarray, p: np.ndarray, many: np.ndarray, window: int) -> np.ndarray:
     """The matcher of repeats.py by suffix order."""
+    values, bounds = pieces.raw, pieces.firsts
     prefix = prefix_hashes(_SYMBOL[values])
     padded = np.concatenate([values, np.zeros(8, dtype=np.uint8)])
     eights = np.ndarray(shape=(len(values) + 1,), dtype="<u8", buffer=padded, strides=(1,))
@@ -87,7 +84,6 @@ def match(values: np.ndarray, bounds: np.ndarray, h: np.ndarray, p: np.ndarray,
     anchor = begin + p
     out = np.zeros(int(many.sum()), dtype=bool)
     slot = np.cumsum(many) - many
-    group = np.cumsum(np.concatenate([[0], (h[1:] != h[:-1]).astype(np.int64)]))
     order = order_suffixes(values, prefix, anchor, end, group)
     back = 0
     while len(order):
@@ -112,37 +108,26 @@ def match(values: np.ndarray, bounds: np.ndarray, h: np.ndarray, p: np.ndarray,
     return out
 
 
-def _bytes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return data.astype(np.uint64), bounds
+def _bytes(data: np.ndarray, bounds: np.ndarray) -> repeats.Symbols:
+    at = np.arange(len(data) + 1)
+    return repeats.Symbols(data.astype(np.uint64), bounds, data, at[:-1], at[1:])
 
 
 def kept_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group: int = repeats.GROUP) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, starts, ends: the removed runs of every document."""
-    kind = repeats.Symbols(_bytes, window, min(gram, window), np.uint8)
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    keyed = texts.select("doc_id", "text", *repeats.text_key(F.col("text")))
-    known = repeats.repeated(keyed, kind, match, group)
-
-    def finish(batch: pa.RecordBatch, first: int, last: int, data: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
-        rows: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "starts", "ends")}
-        copied, s, e = batch.column("copied"), batch.column("s"), batch.column("e")
-        for i in range(first, last):
-            text = data[bounds[i - first] : bounds[i - first + 1]].tobytes()
-            n = len(text)
-            starts = ends = np.zeros(0, dtype=np.int64)
-            if copied[i].as_py() and n >= window:
-                starts, ends = np.array([0]), np.array([n])
-            elif s[i].is_valid:
-                starts, ends = repeats.merged(np.asarray(s[i].values, dtype=np.int64), np.asarray(e[i].values, dtype=np.int64))
-            digest, at = hashlib.sha256(), 0
-            for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-                digest.update(text[at:a])
-                at = b
-            digest.update(text[at:])
-            for k, v in zip(rows, (n, int((ends - starts).sum()), len(starts), digest.hexdigest(), starts.tolist(), ends.tolist()), strict=True):
-                rows[k].append(v)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, last - first), *[pa.array(v, t) for v, t in zip(rows.values(), kinds, strict=True)]], names=["doc_id", *rows])
-
-    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<int>, ends array<int>"
-    return repeats.apply(keyed, known, ["doc_id"], finish, schema)
+    keyed = repeats.keyed_texts(docs)
+    known = repeats.repeated(keyed, repeats.Kind(_bytes, window, min(gram, window)), match, group)
+
+    def finish(text: bytes, starts: np.ndarray, ends: np.ndarray, copied: bool) -> tuple:
+        n = len(text)
+        if copied and n >= window:
+            starts, ends = np.array([0]), np.array([n])
+        digest, at = hashlib.sha256(), 0
+        for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+            digest.update(text[at:a])
+            at = b
+        digest.update(text[at:])
+        return n, int((ends - starts).sum()), len(starts), digest.hexdigest(), starts.tolist(), ends.tolist()
+
+    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "starts", "ends"]
+    return repeats.apply(keyed, known, finish, "n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<int>, ends array<int>", names)
