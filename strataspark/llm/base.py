@@ -65,6 +65,18 @@ class Store:
         remove(self.spark, self.folder)
 
 
+#: Bytes of an Arrow batch that Python gets.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of texts are cut by bytes, not only by rows, from here on in the session; a lower bound stays."""
+    most = spark.conf.get(_BATCH)
+    if not (most.isdigit() and 0 < int(most) <= BATCH_BYTES):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once a row, also where body uses it inside lambdas."""
     return F.transform(F.array(value), body)[0]

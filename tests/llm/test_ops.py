@@ -109,8 +109,9 @@ def brute_components(rows, width, percent):
     return [(r[0], len(s), least.get(find(i), r[0])) for i, (r, s) in enumerate(zip(rows, sets, strict=True))]
 
 
-@pytest.mark.parametrize(("width", "percent", "block"), [(3, 90, 256), (5, 80, 4)])
-def test_jaccard_components(docs, empty, width, percent, block, monkeypatch):
+@pytest.mark.parametrize(("width", "percent", "block", "small"), [(3, 90, 256, 250_000), (5, 80, 4, 250_000), (5, 80, 4, 0)])
+def test_jaccard_components(docs, empty, width, percent, block, small, monkeypatch):
+    monkeypatch.setattr(jaccard, "SMALL_GRAPH", small)
     rows, root = jaccard.links(docs, width, percent, block)
     got = rows.join(root, F.col("node") == F.col("r_node"), "left").select("doc_id", "n_shingles", F.coalesce("r_root", "node", "doc_id").alias("component_id"))
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(brute_components(make_docs(), width, percent), key=repr)
@@ -139,7 +140,7 @@ def brute_repeats(seqs, window):
     return out
 
 
-@pytest.mark.parametrize("group", [400, 1])
+@pytest.mark.parametrize("group", [400, 3, 1])
 def test_suffix_dedup(docs, empty, group):
     texts = [(t or "").encode() for _, t, *_ in make_docs()]
     want = [(i, len(s), sum(g), sum(1 for k, x in enumerate(g) if x and (k == 0 or not g[k - 1])), hashlib.sha256(bytes(b for b, x in zip(s, g, strict=True) if not x)).hexdigest()) for (i, *_), s, g in zip(make_docs(), texts, brute_repeats(texts, 200), strict=True)]
