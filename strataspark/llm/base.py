@@ -105,14 +105,14 @@ def bitmap_of(df: DataFrame, number: Column, bits: int = 1 << 23) -> np.ndarray:
     of df."""
     place = F.pmod(number, F.lit(bits))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(32)).cast("int"))
-    rows = df.groupBy(F.floor(place / 32).cast("int").alias("w")).agg(F.bit_or(bit).alias("b")).toPandas()  # at most bits / 32 rows
+    rows = df.groupBy(F.floor(place / 32).cast("int").alias("w")).agg(F.bit_or(bit).alias("b")).toArrow()  # at most bits / 32 rows
     out = np.zeros(bits // 32, dtype=np.uint32)
-    out[rows["w"].to_numpy()] = rows["b"].to_numpy().astype(np.uint32)
+    out[rows.column("w").to_numpy()] = rows.column("b").to_numpy().astype(np.uint32)
     return out
 
 
-def bits_for(many: int, least: int = 1 << 16, most: int = 1 << 27) -> int:
-    """Size of a bitmap of `many` entries: some sixteenth of the places are taken, up to 16 MB. A table that needs more
+def bits_for(many: int, least: int = 1 << 16, most: int = 1 << 26) -> int:
+    """Size of a bitmap of `many` entries: some sixteenth of the places are taken, up to 8 MB. A table that needs more
     gets a fuller bitmap, which lets more rows through to the joins behind it."""
     return min(max(1 << max(16 * many - 1, 1).bit_length(), least), most)
 
