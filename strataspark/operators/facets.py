@@ -143,10 +143,9 @@ def propagate_orientation(normals: DataFrame, pairs: DataFrame, key: str = "pid"
     dot = vec("ax", "ay", "az").dot(vec("bx", "by", "bz"))
     edges = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct().join(side("a"), "a").join(side("b"), "b")
     weighted = cut_lineage(edges.select("a", "b", F.round(1 - F.abs(dot), 12).alias("w"), F.when(dot < 0, -1).otherwise(1).alias("flip")))
-    tree = spanning_forest(weighted).select("a", "b").join(weighted, ["a", "b"])
-    roots = components(tree.select("a", "b"), normals.select(F.col(key).alias("node"))).groupBy("component").count().select(F.col("component").alias("node"))
-    signed = signs(tree.select("a", "b", "flip"), roots)
-    top = components(tree.select("a", "b"), normals.select(F.col(key).alias("node")))
+    tree = cut_lineage(spanning_forest(weighted).select("a", "b").join(weighted, ["a", "b"]).select("a", "b", "flip"))
+    top = cut_lineage(components(tree, normals.select(F.col(key).alias("node"))))
+    signed = signs(tree, top.where("node = component").select("node"))
     up = normals.select(F.col(key).alias("component"), F.when(F.col("z") < 0, -1).otherwise(1).alias("up"))
     return signed.join(top, "node").join(up, "component").select(F.col("node").alias(key), (F.col("sign") * F.col("up")).alias("sign"))
 

@@ -2,20 +2,49 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import functools
+import re
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def _shared_top(spark: SparkSession) -> str:
+    """The application's folder below the one that spark.checkpoint.dir names, which driver and executors share. A
+    temporary one only where none is named and they are one process, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        named = _OWN.setdefault("top", tempfile.mkdtemp(prefix="strataspark-"))
+    top = f"{named if re.match('[a-z0-9]+:', named) else 'file://' + named}/tables-{spark.sparkContext.applicationId}"
+    if top not in _OWN:
+        _OWN[top] = top
+        atexit.register(_remove, spark, top)
+    return top
+
+
+_OWN: dict[str, str] = {}
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended; its folder then stays
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that spark.checkpoint.dir names (a temporary one only where none is)."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strataspark-"))
-    return df.checkpoint(eager=True)
+    """df as a Parquet table in the shared folder. A checkpoint would keep the plan's estimate of its size, which
+    multiplies at every join of a loop; a table has the size of its files."""
+    path = f"{_shared_top(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def undirected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -23,24 +52,35 @@ def undirected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b").distinct()
 
 
-def components(edges: DataFrame, nodes: DataFrame | None = None, most_rounds: int = 100) -> DataFrame:
+def _to_least(pairs: DataFrame) -> DataFrame:
+    """pairs (u, v) -> (u, v, m) with m the least of u and its v."""
+    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
+    return pairs.join(least, pairs.u == least.k).select("u", "v", "m")
+
+
+def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(node, component): the least node reachable. nodes: a column node that also gets its own component.
 
-    Labels fall to the least of a node's neighbours and then to the label of the label (pointer jumping), so paths
-    of any length take a logarithmic number of rounds in practice."""
-    both = undirected(edges)
-    both = cut_lineage(both.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(both.select(F.col("b").alias("src"), F.col("a").alias("dst"))))
-    every = both.select(F.col("src").alias("node"))
-    labels = cut_lineage((every if nodes is None else every.unionByName(nodes.select("node"))).distinct().withColumn("component", F.col("node")))
-    for _ in range(most_rounds):
-        offered = both.join(labels, F.col("src") == F.col("node")).groupBy("dst").agg(F.min("component").alias("offer"))
-        low = labels.join(offered, F.col("node") == F.col("dst"), "left").select("node", F.least("component", F.coalesce("offer", "component")).alias("low"), F.col("component").alias("was"))
-        ref = low.select(F.col("node").alias("r_node"), F.col("low").alias("r_low"))
-        new = cut_lineage(low.join(ref, F.col("low") == F.col("r_node"), "left").select("node", F.least("low", F.coalesce("r_low", "low")).alias("component"), "was"))
-        labels = new.select("node", "component")
-        if new.where(F.col("component") != F.col("was")).limit(1).count() == 0:
-            return labels
-    raise RuntimeError(f"components: no fixed point after {most_rounds} rounds")
+    Alternating steps: each greater neighbour of a node is joined to the least node that it knows (large star), then
+    the lesser neighbours and the node itself are (small star). The edges end as stars around the least node of each
+    component, in a logarithmic number of rounds on paths too."""
+    e = undirected(edges)
+    e = cut_lineage(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    seen = None
+    while True:
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = _to_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = _to_least(large)
+        e = cut_lineage(small.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u > v").distinct())
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == seen:
+            break
+        seen = now
+    found = e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    if nodes is None:
+        return found
+    alone = nodes.select("node").where("node IS NOT NULL").distinct().join(found.select("node"), "node", "left_anti")
+    return found.unionByName(alone.withColumn("component", F.col("node")))
 
 
 def triangles(edges: DataFrame) -> DataFrame:
@@ -80,40 +120,36 @@ def _kruskal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield e[kept]
 
 
-def spanning_forest(edges: DataFrame, most_rounds: int = 40, most_small: int = 0) -> DataFrame:
-    """Edges (a, b, w) of a minimum spanning forest by Boruvka's rounds, ties by (w, a, b). most_small: number of edges
-    (between whole numbers) up to which one task sorts and settles them."""
+def spanning_forest(edges: DataFrame, most_small: int = 0) -> DataFrame:
+    """Edges (a, b, w) of a minimum spanning forest by Boruvka's rounds, ties by (w, a, b). Each round contracts the
+    graph: the edges are then between components, the least one for each two. most_small: number of edges (between
+    whole numbers) up to which one task sorts and settles them."""
     e = cut_lineage(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w").where("a < b").groupBy("a", "b").agg(F.min("w").alias("w")))
     if most_small and e.count() <= most_small:
         return e.coalesce(1).mapInPandas(_kruskal, "a long, b long, w double")
-    nodes = e.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    label = nodes.withColumn("component", F.col("node"))
-    chosen = None
-    for _ in range(most_rounds):
-        la, lb = label.select(F.col("node").alias("a"), F.col("component").alias("ca")), label.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-        across = e.join(la, "a").join(lb, "b").where("ca <> cb")
-        least = across.select(F.explode(F.array("ca", "cb")).alias("c"), F.struct("w", "a", "b").alias("e")).groupBy("c").agg(F.min("e").alias("e"))
-        new = cut_lineage(least.select("e.w", "e.a", "e.b").distinct())
-        if new.limit(1).count() == 0:
-            break
-        chosen = new if chosen is None else cut_lineage(chosen.unionByName(new).distinct())
-        label = components(chosen.select("a", "b"), nodes)
-    return (chosen if chosen is not None else e.limit(0)).select("a", "b", "w")
-
-
-def signs(tree: DataFrame, root_of: DataFrame, flip: str = "flip", most_rounds: int = 200) -> DataFrame:
-    """(node, sign): products of the edges' flips (+1, -1) along the tree's paths from the roots (column node)."""
-    both = tree.select(F.col("a").alias("src"), F.col("b").alias("dst"), flip).unionByName(tree.select(F.col("b").alias("src"), F.col("a").alias("dst"), flip))
-    both = cut_lineage(both)
-    known = cut_lineage(root_of.select("node", F.lit(1).alias("sign")))
-    front = known
-    for _ in range(most_rounds):
-        step = front.join(both, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("sign") * F.col(flip)).cast("int").alias("sign"))
-        front = cut_lineage(step.join(known, "node", "left_anti"))
-        if front.limit(1).count() == 0:
-            return known
-        known = cut_lineage(known.unionByName(front))
-    raise RuntimeError("signs: the tree is deeper than the rounds allow")
+    left = e.select(F.col("a").alias("p"), F.col("b").alias("q"), F.struct("w", "a", "b").alias("e"))
+    chosen = []
+    while left.limit(1).count():
+        new = cut_lineage(left.select(F.explode(F.array("p", "q")).alias("c"), "p", "q", "e").groupBy("c").agg(F.min(F.struct("e", "p", "q")).alias("m")).select("m.*").distinct())
+        chosen.append(new.select("e.a", "e.b", "e.w"))
+        label = cut_lineage(components(new.select(F.col("p").alias("a"), F.col("q").alias("b"))))
+        to = lambda c, label=label: label.select(F.col("node").alias(c), F.col("component").alias(f"{c}2"))
+        moved = left.join(to("p"), "p").join(to("q"), "q").where("p2 <> q2")
+        left = cut_lineage(moved.groupBy(F.least("p2", "q2").alias("p"), F.greatest("p2", "q2").alias("q")).agg(F.min("e").alias("e")))
+    return functools.reduce(DataFrame.unionByName, chosen, e.limit(0)).select("a", "b", "w")
+
+
+def signs(tree: DataFrame, root_of: DataFrame, flip: str = "flip") -> DataFrame:
+    """(node, sign): products of the edges' flips (+1, -1) along the tree's paths from the roots (column node, one a
+    tree). Every node stands twice, once a sign, and an edge joins what goes together: a tree then has two components,
+    and a node's sign is told by the one that it is in. Trees of any depth take a logarithmic number of rounds."""
+    at = lambda c, s: F.struct(F.col(c).alias("node"), F.lit(s).alias("side"))
+    pairs = F.explode(F.when(F.col(flip) > 0, F.array(*[F.struct(at("a", s).alias("a"), at("b", s).alias("b")) for s in (0, 1)])).otherwise(F.array(*[F.struct(at("a", s).alias("a"), at("b", 1 - s).alias("b")) for s in (0, 1)]))).alias("e")
+    alone = root_of.select(at("node", 0).alias("node"))
+    label = cut_lineage(components(tree.select(pairs).select("e.a", "e.b"), alone))
+    plus = label.where("node.side = 0").select("node.node", F.col("component.node").alias("tree"), (1 - 2 * F.col("component.side")).alias("sign"))
+    rooted = plus.join(root_of.select("node"), "node").select("tree", F.col("sign").alias("root_sign"))
+    return plus.join(rooted, "tree").select("node", (F.col("sign") * F.col("root_sign")).cast("int").alias("sign"))
 
 
 def _neighbours(pdf: pd.DataFrame) -> dict:

@@ -23,7 +23,7 @@ def disk_segments(disks: DataFrame, most: float, extension: float = 2.0, key: st
     joined = pairs.join(side("a"), "a").join(side("b"), "b")
     # steps as columns: each is computed once a row and used by name
     line = vec_of("a_n").cross(vec_of("b_n"))
-    lined = joined.withColumn("_l", line.struct()).withColumn("_len", vec_of("_l").norm()).where("_len >= 1e-8").withColumn("dir", (vec_of("_l") / F.col("_len")).struct())
+    lined = joined.withColumn("_l", line.struct()).withColumn("_len", vec_of("_l").norm()).where("_len >= 1e-8").withColumn("dir", (vec_of("_l") / F.when(F.col("_len") >= 1e-8, F.col("_len"))).struct())
     lined = lined.withColumn("_da", vec_of("a_n").dot(vec_of("a_center"))).withColumn("_db", vec_of("b_n").dot(vec_of("b_center")))
     lined = lined.withColumn("p0", solve3((vec_of("a_n"), vec_of("b_n"), vec_of("dir")), (F.col("_da"), F.col("_db"), F.lit(0.0)), 1e-30).struct())
     for p in "ab":

@@ -45,7 +45,8 @@ def hypotheses(points: DataFrame, by: list[str], iterations: int, seed: int = 0)
     n = (q - p).cross(r - p)
     length = n.norm()
     ok = draws.withColumn("_len", length).where("_len > 1e-9")
-    n = (q - p).cross(r - p) / F.col("_len")
+    # a filter does not keep a later division from being computed first: the divisor itself is null where it is none
+    n = (q - p).cross(r - p) / F.when(F.col("_len") > 1e-9, F.col("_len"))
     return ok.select(*by, "iter", *[c.alias(k) for c, k in zip(n.parts(), "abc", strict=True)], (-n.dot(p)).alias("d"))
 
 
@@ -92,7 +93,8 @@ def peel(points: DataFrame, by: list[str], k: int, threshold: float, iterations:
     left, out = points, None
     for place in range(k):
         best = best_planes(left, by, threshold, iterations, seed)
-        planes = cut_lineage(refit(left, best, by, threshold).select(*by, "a", "b", "c", "d").where("a IS NOT NULL"))
+        # the fit is written first: a filter on it would be pushed down with copies of its whole expression
+        planes = cut_lineage(refit(left, cut_lineage(best), by, threshold).select(*by, "a", "b", "c", "d")).where("a IS NOT NULL")
         told = with_inliers(left, planes, by, threshold).where("inlier")
         sums = told.groupBy(*by).agg(F.count("*").alias("inliers"), F.sum(plane_distance() * plane_distance()).alias("rss")).where(F.col("inliers") >= least)
         found = cut_lineage(planes.join(sums, by).withColumn("place", F.lit(place)))

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataspark.functions.vec import V3, basis_by_x, vec
-from strataspark.operators.ransac import LCG_M, lcg
 
 
 def grid(spark: SparkSession, half_u: float, half_v: float, step: float) -> DataFrame:
@@ -24,15 +23,13 @@ def grid(spark: SparkSession, half_u: float, half_v: float, step: float) -> Data
 
 
 def uniform(seed: int, *ids: Column) -> Column:
-    """A number in [0, 1) for the ids."""
-    state = F.lit(seed).cast("long")
-    for i in ids:
-        state = lcg(F.pmod(state + i.cast("long") * 2654435, F.lit(LCG_M).cast("long")))
-    return lcg(lcg(state)) / float(LCG_M)
+    """A number in [0, 1) for the ids: the upper 53 bits of a mixing hash. Seeds give independent streams."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed).cast("long"), *[i.cast("long") for i in ids]), 11) / float(1 << 53)
 
 
 def gaussian(seed: int, *ids: Column) -> Column:
-    one, two = uniform(seed, *ids), uniform(seed + 7777, *ids)
+    """A standard normal number for the ids."""
+    one, two = uniform(seed, *ids, F.lit(1)), uniform(seed, *ids, F.lit(2))
     return F.sqrt(-2 * F.log(F.greatest(one, F.lit(1e-12)))) * F.cos(2 * math.pi * two)
 
 
