@@ -38,6 +38,10 @@ class V3:
         k = col(k)
         return V3(self.x / k, self.y / k, self.z / k)
 
+    def over(self, k: Column) -> V3:
+        """self / k, null where k is 0. A filter before a division does not keep it from being computed first."""
+        return V3(*[F.try_divide(c, k) for c in self.parts()])
+
     def dot(self, o: V3) -> Column:
         return self.x * o.x + self.y * o.y + self.z * o.z
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PARAMS = ("Gno", "Grid", "Sin", "Ben")
-#: Palette of RGB triples for ids. Fixed values.
+#: RGB triples for ids, a choice of ours.
 PALETTE = ((230, 25, 75), (60, 180, 75), (255, 225, 25), (0, 130, 200), (245, 130, 48), (145, 30, 180), (70, 240, 240), (240, 50, 230))
 GREY = (128, 128, 128)
 
@@ -49,14 +49,16 @@ def score_cut(df: DataFrame, score: str, quantile: float | None = None, k: float
 
 
 def colour(spec: Column) -> Column:
-    """struct(r, g, b) of '#RRGGBB', 'rgb(r,g,b)' or 'r,g,b' (0-255, or 0-1 where no part is over 1); grey otherwise."""
+    """struct(r, g, b) of 'RRGGBB' (with or without '#'), 'rgb(r,g,b)' in either case, 'r,g,b' or 'r g b' (0-255, or
+    0-1 where no part is over 1), rounded half to even and clipped; grey otherwise."""
     s = F.trim(spec)
-    hexed = F.regexp_extract(s, r"^#([0-9A-Fa-f]{6})$", 1)
+    hexed = F.regexp_extract(s, r"^#?([0-9A-Fa-f]{6})$", 1)
     part = lambda i: F.conv(F.substring(hexed, 2 * i + 1, 2), 16, 10).cast("int")
-    plain = r"^(?:rgb\()?\s*([0-9.]+)\s*,\s*([0-9.]+)\s*,\s*([0-9.]+)\s*\)?$"
-    value = lambda i: F.nullif(F.regexp_extract(s, plain, i + 1), F.lit("")).try_cast("double")
+    inside = F.coalesce(F.nullif(F.regexp_extract(s, r"^(?i)rgb\(\s*([0-9.]+\s*,\s*[0-9.]+\s*,\s*[0-9.]+)\s*\)$", 1), F.lit("")), s)
+    three = r"^([0-9.]+)[,\s]+([0-9.]+)[,\s]+([0-9.]+)$"
+    value = lambda i: F.nullif(F.regexp_extract(inside, three, i + 1), F.lit("")).try_cast("double")
     unit = F.greatest(*[value(i) for i in range(3)]) <= 1
-    scaled = lambda i: F.greatest(F.lit(0), F.least(F.lit(255), F.round(F.when(unit, value(i) * 255).otherwise(value(i))).cast("int")))
+    scaled = lambda i: F.greatest(F.lit(0), F.least(F.lit(255), F.bround(F.when(unit, value(i) * 255).otherwise(value(i))).cast("int")))
     ok = F.coalesce(value(0).isNotNull() & value(1).isNotNull() & value(2).isNotNull(), F.lit(False))
     grey = F.struct(*[F.lit(c).alias(k) for c, k in zip(GREY, "rgb", strict=True)])
     return F.when(hexed != "", F.struct(*[part(i).alias(k) for i, k in enumerate("rgb")])).when(ok, F.struct(*[scaled(i).alias(k) for i, k in enumerate("rgb")])).otherwise(grey)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataspark.functions.vec import boxes_meet_xy, cross_xy, in_slab, solve3, vec, vec_of
-from strataspark.operators.graph import components
+from strataspark.operators.graph import components, cut_lineage
 from strataspark.operators.spatial import ball_pairs, radius_join
 
 XYZ = ("x", "y", "z")
@@ -21,11 +21,12 @@ def disk_segments(disks: DataFrame, most: float, extension: float = 2.0, key: st
     pairs = ball_pairs(balls, key, most * extension)
     side = lambda p: disks.select(F.col(key).alias(p), *[F.col(c).alias(f"{p}_{c}") for c in ("center", "n", "u", "v", "ra", "rb")])
     joined = pairs.join(side("a"), "a").join(side("b"), "b")
-    # steps as columns: each is computed once a row and used by name
+    # steps as columns, written now and then: a filter on a column would be pushed down with its whole expression
     line = vec_of("a_n").cross(vec_of("b_n"))
-    lined = joined.withColumn("_l", line.struct()).withColumn("_len", vec_of("_l").norm()).where("_len >= 1e-8").withColumn("dir", (vec_of("_l") / F.when(F.col("_len") >= 1e-8, F.col("_len"))).struct())
+    lined = joined.withColumn("_l", line.struct()).withColumn("_len", vec_of("_l").norm()).where("_len >= 1e-8").withColumn("dir", vec_of("_l").over(F.col("_len")).struct())
     lined = lined.withColumn("_da", vec_of("a_n").dot(vec_of("a_center"))).withColumn("_db", vec_of("b_n").dot(vec_of("b_center")))
-    lined = lined.withColumn("p0", solve3((vec_of("a_n"), vec_of("b_n"), vec_of("dir")), (F.col("_da"), F.col("_db"), F.lit(0.0)), 1e-30).struct())
+    lined = cut_lineage(lined.where(F.col("dir.x").isNotNull()))
+    lined = cut_lineage(lined.withColumn("p0", solve3((vec_of("a_n"), vec_of("b_n"), vec_of("dir")), (F.col("_da"), F.col("_db"), F.lit(0.0)), 1e-30).struct()))
     for p in "ab":
         q = vec_of("p0") - vec_of(f"{p}_center")
         u, v, ra, rb = vec_of(f"{p}_u"), vec_of(f"{p}_v"), F.col(f"{p}_ra"), F.col(f"{p}_rb")
@@ -34,9 +35,9 @@ def disk_segments(disks: DataFrame, most: float, extension: float = 2.0, key: st
         x, y, e, h = (F.col(f"_{p}{k}") for k in "xyeh")
         lined = lined.withColumn(f"_{p}q", e * e + h * h).withColumn(f"_{p}m", -(x * e + y * h) / F.col(f"_{p}q"))
         lined = lined.withColumn(f"_{p}r", F.sqrt(F.greatest(F.lit(0.0), F.col(f"_{p}m") * F.col(f"_{p}m") - (x * x + y * y - 1) / F.col(f"_{p}q"))))
-        lined = lined.where(F.col(f"_{p}r") * 2 > 1e-9)
+        lined = cut_lineage(lined).where(F.col(f"_{p}r") * 2 > 1e-9)
     low, high = (f(*[F.col(f"_{p}m") + side * F.col(f"_{p}r") for p in "ab"]) for f, side in ((F.greatest, -1), (F.least, 1)))
-    cut = lined.withColumn("t1", low).withColumn("t2", high).where("t2 - t1 > 1e-6")
+    cut = cut_lineage(lined.withColumn("t1", low).withColumn("t2", high)).where("t2 - t1 > 1e-6")
     at = lambda t: vec_of("p0") + vec_of("dir") * F.col(t)
     return cut.select("a", "b", at("t1").struct().alias("p1"), at("t2").struct().alias("p2"), (F.col("t2") - F.col("t1")).alias("length"))
 

@@ -45,8 +45,7 @@ def hypotheses(points: DataFrame, by: list[str], iterations: int, seed: int = 0)
     n = (q - p).cross(r - p)
     length = n.norm()
     ok = draws.withColumn("_len", length).where("_len > 1e-9")
-    # a filter does not keep a later division from being computed first: the divisor itself is null where it is none
-    n = (q - p).cross(r - p) / F.when(F.col("_len") > 1e-9, F.col("_len"))
+    n = (q - p).cross(r - p).over(F.col("_len"))
     return ok.select(*by, "iter", *[c.alias(k) for c, k in zip(n.parts(), "abc", strict=True)], (-n.dot(p)).alias("d"))
 
 

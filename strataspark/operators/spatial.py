@@ -7,9 +7,13 @@ splits cells that are very full (skew joins), and no join here is a cross produc
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataspark.operators.graph import cut_lineage
+
 XYZ = ("x", "y", "z")
 
 
@@ -56,14 +60,15 @@ def knn(points: DataFrame, others: DataFrame, k: int, size: float, key: str = "p
     n_key, d2, rank. by: columns that both must share.
 
     Rounds double the reach: a point is done when its k-th distance is within the reach, for nothing beyond can be
-    nearer. Points that `rings` rounds leave (far outliers) meet all others in blocks of the points left, each block
-    against the whole side.
+    nearer. After `rings` rounds the points left, which are far outliers, are counted each time, until none is left or
+    the reach spans both sides.
     """
     result, left = None, points
-    reach = float(size)
+    reach, span, turn = float(size), math.inf, 0
     order = Window.partitionBy(key).orderBy("d2", f"n_{key}")
     names = [key, f"n_{key}", "d2", "rank"]
-    for _ in range(rings):
+    while True:
+        turn += 1
         near = with_near_cells(left, reach, reach, axes)
         cells = with_cells(others, reach, axes)
         cells = cells.select(*[F.col(c).alias(f"n_{c}") for c in (key, *axes, *by)], *[f"_c{a}" for a in axes])
@@ -71,14 +76,20 @@ def knn(points: DataFrame, others: DataFrame, k: int, size: float, key: str = "p
         for c in by:
             pairs = pairs.where(F.col(c).eqNullSafe(F.col(f"n_{c}")))
         ranked = pairs.withColumn("d2", distance2(axes)).where(F.col("d2") <= reach * reach).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        if reach >= span:  # all others are within the reach
+            return result.unionByName(ranked.select(*names))
         full = ranked.where(F.col("rank") == k).select(F.col(key).alias("_done"))
         done = ranked.join(full, F.col(key) == F.col("_done")).select(*names)
         result = done if result is None else result.unionByName(done)
         left = left.join(full, F.col(key) == F.col("_done"), "left_anti")
         reach *= 2
-    rest = left.select(key, *axes, *by).join(others.select(*[F.col(c).alias(f"n_{c}") for c in (key, *axes, *by)]), [F.col(c).eqNullSafe(F.col(f"n_{c}")) for c in by] or F.lit(True))
-    rest = rest.withColumn("d2", distance2(axes)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return result.unionByName(rest.select(*names))
+        if turn >= rings:
+            left = cut_lineage(left)
+            if not left.limit(1).count():
+                return result
+            if span == math.inf:
+                box = points.select(*axes).unionByName(others.select(*axes)).agg(*[(F.max(a) - F.min(a)).alias(a) for a in axes]).first()
+                span = math.sqrt(sum((box[a] or 0.0) ** 2 for a in axes)) * (1 + 1e-9) + 1e-300
 
 
 def nearest_center(points: DataFrame, centers: DataFrame, axes: tuple[str, ...] = XYZ, center: str = "center_id", most_centers: int = 100_000) -> DataFrame:

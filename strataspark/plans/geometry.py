@@ -243,9 +243,10 @@ def g9_cube_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def g3_cliques(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Maximal cliques and their exclusive choice, a component at a time."""
-    e = cloud(spark, sf_dir, "planes").select((F.col("pid") % 30).alias("a"), (F.col("pid") * 7 % 31).alias("b"))
-    return graph.exclusive_cliques(e).select("block_id", F.size("clique").alias("n"))
+    """Exclusive cliques of planes with normals near each other, a component at a time."""
+    n = _normals(spark, sf_dir)
+    near = radius_join(n, n, 0.15).where("pid < n_pid").select(F.col("pid").alias("a"), F.col("n_pid").alias("b"))
+    return graph.exclusive_cliques(near).select("block_id", F.size("clique").alias("n"))
 
 
 # Blocks

@@ -148,11 +148,10 @@ def j18_near_other(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.near_other(p.where("pid % 10 = 0"), p.where("pid % 10 <> 0"), 1.0).select("pid")
 
 
-@query(sql("parts") + f" SELECT pid, node FROM (SELECT p.pid, q.pid AS node, row_number() OVER (PARTITION BY p.pid ORDER BY {d2()}, q.pid) AS k FROM parts p JOIN parts q ON p.pid % 100 = 0 AND q.pid % 100 <> 0) WHERE k = 1")
+@query(sql("parts", "disks") + f" SELECT pid, node FROM (SELECT p.pid, q.pid AS node, row_number() OVER (PARTITION BY p.pid ORDER BY {d2()}, q.pid) AS k FROM parts p, disks q) WHERE k = 1")
 def j17_nearest_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest point of another set."""
-    p = _parts(spark, sf_dir)
-    return spatial.knn(p.where("pid % 100 = 0"), p.where("pid % 100 <> 0"), 1, 2.0).select("pid", F.col("n_pid").alias("node"))
+    """The nearest point of another set, for every point."""
+    return spatial.knn(_parts(spark, sf_dir), cloud(spark, sf_dir, "disks"), 1, 2.0).select("pid", F.col("n_pid").alias("node"))
 
 
 # Grouped linear algebra

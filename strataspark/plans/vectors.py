@@ -198,11 +198,11 @@ def f_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = cloud(spark, sf_dir, "pts")
     groups = p.groupBy("grp").agg(F.count("*").alias("n"), F.count_distinct("x", "y", "z").alias("m")).where("n >= 50 AND m > 1")
     kept = p.join(groups.select("grp"), "grp", "left_semi")
-    limits = p.agg(F.percentile("y", F.lit(0.9)).alias("q"), (F.avg("y") - 1.5 * F.stddev_pop("y")).alias("lo"))
-    y = F.col("y")
+    cut = lambda name, **how: analysis.score_cut(p, "y", **how).groupBy("grp").agg(F.count("*").alias(name))
     boxed = V.in_box(vec("x", "y", "z"), vec(10, 5, 0), vec(30, 40, 5))
     n = lambda c, k: F.sum(c.cast("long")).alias(k)
-    return kept.crossJoin(F.broadcast(limits)).groupBy("grp").agg(F.count("*").alias("kept"), n(y >= F.col("q"), "top"), n(y >= F.col("lo"), "above"), n(boxed, "boxed"), r(F.sum(F.greatest(F.lit(0.0), F.least(F.lit(20.0), F.col("x")))), "clamped", 4))
+    sums = kept.groupBy("grp").agg(F.count("*").alias("kept"), n(boxed, "boxed"), r(F.sum(F.greatest(F.lit(0.0), F.least(F.lit(20.0), F.col("x")))), "clamped", 4))
+    return sums.join(cut("top", quantile=0.9), "grp", "left").join(cut("above", k=1.5), "grp", "left").fillna(0, ["top", "above"])
 
 
 # Robustness tables
@@ -260,13 +260,13 @@ def a_quantile_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "WITH s AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN '#' || lpad(upper(to_hex(event_id % 16777216)), 6, '0') WHEN 1 THEN 'rgb(' || (event_id % 256) || ', 7, 9)' WHEN 2 THEN (event_id % 300) || ',10,20' WHEN 3 THEN '0.5,0.25,1' ELSE 'blue' END AS spec FROM events) SELECT event_id,"
+    "WITH s AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN lpad(upper(to_hex(event_id % 16777216)), 6, '0') WHEN 1 THEN 'rgb(' || (event_id % 256) || ', 7, 9)' WHEN 2 THEN (event_id % 300) || ',10,20' WHEN 3 THEN '0.5,0.25,1' ELSE 'blue' END AS spec FROM events) SELECT event_id,"
     " CASE event_id % 5 WHEN 0 THEN event_id % 16777216 // 65536 WHEN 1 THEN event_id % 256 WHEN 2 THEN least(255, event_id % 300) WHEN 3 THEN 128 ELSE 128 END::INTEGER AS red, CASE event_id % 5 WHEN 0 THEN event_id % 65536 // 256 WHEN 1 THEN 7 WHEN 2 THEN 10 WHEN 3 THEN 64 ELSE 128 END::INTEGER AS green FROM s"
 )
 def s_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Colour texts of every form."""
     k = F.col("event_id")
-    spec = F.when(k % 5 == 0, F.concat(F.lit("#"), F.lpad(F.hex(k % 16777216), 6, "0"))).when(k % 5 == 1, F.concat(F.lit("rgb("), (k % 256).cast("string"), F.lit(", 7, 9)"))).when(k % 5 == 2, F.concat((k % 300).cast("string"), F.lit(",10,20"))).when(k % 5 == 3, F.lit("0.5,0.25,1")).otherwise(F.lit("blue"))
+    spec = F.when(k % 5 == 0, F.concat(F.when(k % 2 == 0, "#").otherwise(""), F.lpad(F.hex(k % 16777216), 6, "0"))).when(k % 5 == 1, F.concat(F.when(k % 2 == 0, "rgb(").otherwise("RGB( "), (k % 256).cast("string"), F.lit(", 7, 9)"))).when(k % 5 == 2, F.concat((k % 300).cast("string"), F.when(k % 2 == 0, ",10,20").otherwise(" 10  20"))).when(k % 5 == 3, F.lit("0.5,0.25,1")).otherwise(F.lit("blue"))
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", analysis.colour(spec).alias("c"))
     return e.select("event_id", F.col("c.r").alias("red"), F.col("c.g").alias("green"))
 
@@ -303,15 +303,17 @@ def s_facet_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "WITH q AS (SELECT o_orderkey AS place, CASE WHEN o_orderkey % 13 = 0 THEN 'x' ELSE (o_custkey % 9 - 1)::VARCHAR END AS cluster_id, (o_custkey % 50)::VARCHAR AS facet_id FROM orders), c AS (SELECT place, coalesce(try_cast(cluster_id AS INTEGER), -1) AS cluster_id, facet_id::INTEGER AS facet_id FROM q),"
-    " f AS (SELECT cluster_id, facet_id, min(place) AS first FROM c WHERE cluster_id <> -1 GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY first, facet_id) - 1 AS number FROM f) SELECT c.place, c.cluster_id, c.facet_id, nullif(c.cluster_id, -1) AS joint_id, n.number::INTEGER AS joint_cluster_id FROM c LEFT JOIN n USING (cluster_id, facet_id)"
+    "WITH c AS (SELECT o_orderkey AS place, CASE WHEN o_orderkey % 13 = 0 THEN -1 ELSE o_custkey % 9 - 1 END::INTEGER AS cluster_id, (o_custkey % 4 - 1)::INTEGER AS sub, (o_custkey % 50 - 1)::INTEGER AS facet_id FROM orders),"
+    " f AS (SELECT facet_id, row_number() OVER (ORDER BY min(place)) - 1 AS number FROM c WHERE cluster_id = -1 AND facet_id >= 0 GROUP BY facet_id), k AS (SELECT cluster_id, sub, row_number() OVER (ORDER BY min(place)) - 1 AS number FROM c WHERE cluster_id <> -1 AND sub <> -1 GROUP BY ALL)"
+    " SELECT place, c.cluster_id, c.facet_id, CASE WHEN c.cluster_id = -1 THEN coalesce(f.number, -1) ELSE c.sub END::INTEGER AS subcluster_id, CASE WHEN c.cluster_id = -1 THEN CASE WHEN c.facet_id >= 0 THEN c.facet_id END ELSE k.number END::INTEGER AS combined_id"
+    " FROM c LEFT JOIN f ON c.cluster_id = -1 AND f.facet_id = c.facet_id LEFT JOIN k ON k.cluster_id = c.cluster_id AND k.sub = c.sub"
 )
 def s_qfacet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facet tables of texts: coercion, required columns, sub-cluster numbers by first appearance."""
+    """Facet tables of texts: coercion, required columns, facets of no set as sub-clusters, combined ids."""
     from strataspark.sources.tables import qfacet
 
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    text = o.select(F.col("o_orderkey").alias("place"), *[F.lit("1.5").alias(c) for c in "XYZABCD"], F.when(F.col("o_orderkey") % 13 == 0, "x").otherwise((F.col("o_custkey") % 9 - 1).cast("string")).alias("cluster_id"), F.lit("0").alias("subcluster_id"), (F.col("o_custkey") % 50).cast("string").alias("facet_id"))
-    return qfacet(text, "place").select("place", "cluster_id", "facet_id", "joint_id", F.col("joint_cluster_id").cast("int").alias("joint_cluster_id"))
+    text = o.select(F.col("o_orderkey").alias("place"), *[F.lit("1.5").alias(c) for c in "XYZABCD"], F.when(F.col("o_orderkey") % 13 == 0, "x").otherwise((F.col("o_custkey") % 9 - 1).cast("string")).alias("cluster_id"), (F.col("o_custkey") % 4 - 1).cast("string").alias("subcluster_id"), (F.col("o_custkey") % 50 - 1).cast("string").alias("facet_id"))
+    return qfacet(text, "place").select("place", "cluster_id", "facet_id", "subcluster_id", "combined_id")
 
 

@@ -22,15 +22,21 @@ def read_dse(spark: SparkSession, path: str) -> DataFrame:
 
 
 def qfacet(rows: DataFrame, order: str) -> DataFrame:
-    """Rows of strings (QFACET's columns) with numbers, ids that do not parse as -1, and joint_id, joint_cluster_id:
-    sub-clusters numbered within their set in order of first appearance (null for noise)."""
+    """Rows of strings (QFACET's columns) as numbers, ids that do not parse as -1, and combined_id. Rows of no set
+    (cluster_id -1) get their facets, numbered in order of first appearance, as sub-clusters (-1 without a facet), and
+    the facet as combined id. Other rows keep their ids; their (cluster_id, subcluster_id) are numbered in order of first
+    appearance, those without a sub-cluster have none."""
     missing = [c for c in QFACET if c not in rows.columns]
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
     ids = ("cluster_id", "subcluster_id", "facet_id")
     clean = rows.select(order, *[F.col(c).try_cast("double").alias(c.lower()) for c in QFACET if c not in ids], *[F.coalesce(F.col(c).try_cast("double").cast("int"), F.lit(-1)).alias(c) for c in ids])
-    numbers = first_seen(clean.where("cluster_id <> -1"), "facet_id", order, ("cluster_id",))
-    return clean.join(numbers.withColumnRenamed("number", "joint_cluster_id"), ["cluster_id", "facet_id"], "left").withColumn("joint_id", F.when(F.col("cluster_id") != -1, F.col("cluster_id")))
+    loose = F.col("cluster_id") == -1
+    facets = first_seen(clean.where(loose & (F.col("facet_id") >= 0)), "facet_id", order).select("facet_id", F.lit(-1).alias("cluster_id"), F.col("number").cast("int").alias("new"))
+    pairs = first_seen(clean.where(~loose & (F.col("subcluster_id") != -1)).withColumn("k", F.struct("cluster_id", "subcluster_id")), "k", order).select("k.*", F.col("number").cast("int").alias("pair"))
+    told = clean.join(facets, ["cluster_id", "facet_id"], "left").join(pairs, ["cluster_id", "subcluster_id"], "left")
+    combined = F.when(loose, F.when(F.col("facet_id") >= 0, F.col("facet_id"))).otherwise(F.col("pair"))
+    return told.withColumn("combined_id", combined).withColumn("subcluster_id", F.when(loose, F.coalesce("new", F.lit(-1))).otherwise(F.col("subcluster_id"))).drop("new", "pair")
 
 
 def read_qfacet(spark: SparkSession, path: str) -> DataFrame:
