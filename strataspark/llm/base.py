@@ -82,6 +82,27 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+_CARRIED = "_carried_columns"
+
+
+def carry(docs: DataFrame, *own: str, columns: list[str] | None = None) -> DataFrame:
+    """docs with its own columns and all others (or those named) in one struct, where they cannot clash with names that
+    an operator makes."""
+    others = [c for c in (docs.columns if columns is None else columns) if c not in own]
+    packed = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(None).cast("int")
+    return docs.select(*[f"`{c}`" for c in own if c in docs.columns], packed.alias(_CARRIED))
+
+
+def unpacked(name: str) -> Column:
+    """A column that carry() packed, by its own name."""
+    return F.col(_CARRIED).getField(name).alias(name)
+
+
+def carried(df: DataFrame, columns: list[str], own: tuple[str, ...], *more: str) -> DataFrame:
+    """The columns in their order, packed ones from the struct, and more; of equal names the later one stays."""
+    return df.select(*[F.col(f"`{c}`") if c in own else unpacked(c) for c in columns if c not in more], *more)
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; empty for null."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataspark.llm.base import count_words, materialize
+from strataspark.llm.base import carried, carry, count_words, materialize
 
 #: Weights of the sources in order, repeating. Fixed values.
 WEIGHTS = (5, 2, 1)
@@ -55,7 +55,19 @@ def _queued(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 
 def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS, slot_digits: int = 3, ranges: int = 2048, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row a document: doc_id, size, source_size, target, taken, and the columns named in keep.
+    """One row a document: doc_id, the columns named in keep, size, source_size, target, taken; a kept column of a
+    name that the result has gives way."""
+    made = ("size", "source_size", "target", "taken")
+    others = [c for c in keep if c not in ("doc_id", "source")]
+    if not others:
+        return _mixed(docs, share, most, weights, slot_digits, ranges, keep)
+    packed = carry(docs, "doc_id", "source", "text", columns=["doc_id", "source", "text", *others])
+    inner = tuple(c for c in packed.columns if c != "text") + (("text",) if "text" in others else ())
+    return carried(_mixed(packed, share, most, weights, slot_digits, ranges, inner), ["doc_id", *[c for c in keep if c != "doc_id"]], ("doc_id", "source", "text"), *made)
+
+
+def _mixed(docs: DataFrame, share: float, most: float, weights: tuple[int, ...], slot_digits: int, ranges: int, keep: tuple[str, ...]) -> DataFrame:
+    """The mix.
 
     Within a source the mix takes a prefix of the shuffled order in either pass, so a source's part is told by the
     last document taken in each: texts and other kept columns are joined to one row a source and never shuffled.

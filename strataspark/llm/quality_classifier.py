@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataspark.llm.base import let, words
+from strataspark.llm.base import carried, carry, let, unpacked, words
 
 HELD_OUT_OF, HELD_OUT = 4, 2
 NAMES = ("length", "word_length", "distinct", "repeated_lines", "symbols", "upper", "digits", "bars", "shouts", "stops", "line_length", "short_text")
@@ -64,18 +64,19 @@ def fit(docs: DataFrame, labels: DataFrame, shrinkage: float = 0.05, label: str
     stats = docs.where(~held_out(F.col("doc_id"))).select("doc_id", statistics(F.col("text")).alias("x")).select("doc_id", "x.*")
     p = len(NAMES)
     pairs = [(i, j) for i in range(p) for j in range(i + 1)]
-    sums = [F.sum(k).alias(f"s{i}") for i, k in enumerate(NAMES)] + [F.sum(F.col(NAMES[i]) * F.col(NAMES[j])).alias(f"m{i}_{j}") for i, j in pairs]
+    # covariance aggregates update means and co-moments together: no difference of large sums
+    sums = [F.avg(k).alias(f"s{i}") for i, k in enumerate(NAMES)] + [F.covar_pop(NAMES[i], NAMES[j]).alias(f"m{i}_{j}") for i, j in pairs]
     rows = {r["_label"]: r for r in stats.join(known, "doc_id").groupBy("_label").agg(F.count("*").alias("n"), *sums).collect()}  # a row a class
     if not {0, 1} <= rows.keys():
         return None
     total = rows[0]["n"] + rows[1]["n"]
     means, covs = [], []
     for c in (0, 1):
-        r, n = rows[c], rows[c]["n"]
-        mu = np.array([r[f"s{i}"] for i in range(p)]) / n
+        r = rows[c]
+        mu = np.array([r[f"s{i}"] for i in range(p)])
         cov = np.zeros((p, p))
         for i, j in pairs:
-            cov[i, j] = cov[j, i] = r[f"m{i}_{j}"] / n - mu[i] * mu[j]
+            cov[i, j] = cov[j, i] = r[f"m{i}_{j}"]
         means.append(mu)
         covs.append(cov)
     pooled = np.diag(sum(rows[c]["n"] * covs[c].diagonal() for c in (0, 1)) / total) + 1e-6 * np.eye(p)
@@ -104,7 +105,10 @@ def score(x: Column, model: Model | None) -> Column:
 
 
 def classify(docs: DataFrame, model: Model | None, threshold: float = 0.7, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, kept columns, held_out, score, predicted."""
-    x = docs.select("doc_id", *keep, statistics(F.col("text")).alias("x"))
-    scored = x.select("doc_id", *keep, held_out(F.col("doc_id")).alias("held_out"), score(F.col("x"), model).alias("score"))
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    """doc_id, kept columns, held_out, score, predicted; a kept column of a name that the result has gives way."""
+    made = ("held_out", "score", "predicted")
+    packed = carry(docs, "doc_id", columns=["doc_id", "text", *[c for c in keep if c != "text"]])
+    x = packed.select("*", statistics(unpacked("text")).alias("_x"))
+    scored = x.select("*", held_out(F.col("doc_id")).alias("held_out"), score(F.col("_x"), model).alias("score"))
+    scored = scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return carried(scored, ["doc_id", *[c for c in keep if c != "doc_id"]], ("doc_id",), *made)

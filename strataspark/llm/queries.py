@@ -49,7 +49,8 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.report(table(spark, sf_dir, "documents"), secrets.train(secrets.samples(spark)))
+    docs = table(spark, sf_dir, "documents")
+    return secrets.report(docs, secrets.train(secrets.samples(spark), secrets.corpus_samples(docs)))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

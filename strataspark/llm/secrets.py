@@ -5,8 +5,10 @@ the token's pairs of neighbouring characters of log p(next | this) under the mod
 under the model of identifiers. Tokens over the threshold become further spans of kind markov.
 
 Both models are first-order chains over the characters that tokens can hold, counted by Spark from labelled samples
-and smoothed by adding one. The weights are a table of fixed size. The samples are made by rule: encoded digests of
-counters as random strings, and names composed of common words as identifiers; samples of one's own may be given.
+and smoothed by adding one. The weights are a table of fixed size. Samples are the tokens of the corpus itself (what the
+base patterns find is random, tokens of documents where they find nothing are ordinary; a quarter of the documents is
+held out for measuring), beside samples made by rule: encoded digests of counters as random strings, and names composed
+of common words as identifiers. Each kind of sample has the same part in a model.
 
 Spans count code points, end exclusive. Defined cases: a null text is empty; empty texts have no spans and the digest
 of the empty string; repeated rows give repeated rows; an empty table gives an empty result; extra columns are
@@ -20,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataspark.llm.base import let
+from strataspark.llm.base import carried, carry, let
 
 #: Patterns, with the group whose length counts and its least length. Fixed values.
 ASSIGN = (r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 12)
@@ -85,16 +87,45 @@ def samples(spark: SparkSession, each: int = 4000) -> DataFrame:
     return random.unionByName(plain)
 
 
-def train(labelled: DataFrame) -> list[float]:
-    """(token, random) -> log ratio for each pair of characters, row by row over the alphabet."""
+def corpus_samples(docs: DataFrame, least: int = 8) -> DataFrame:
+    """(token, random, n): tokens of all documents but the held-out ones (crc32 of doc_id mod 4 = 2) with their number of
+    occurrences. What the base patterns find is labelled random; tokens of `least` characters or more of documents
+    without any base span are labelled ordinary."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    seen = docs.where(~F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))).select(text.alias("text"))
+    hits = []
+    for kind, (_, group, _) in KINDS:
+        pattern, _, size = _pattern(kind)
+        of = F.regexp_extract_all("text", F.lit(pattern), F.lit(group))
+        hits.append((F.col("text").rlike(pattern), F.filter(of, lambda t, size=size: F.length(t) >= size)))
+    none = F.array().cast("array<string>")
+    found = F.concat(*[F.when(has, tokens).otherwise(none) for has, tokens in hits])
+    plain = F.regexp_extract_all("text", F.lit(f"({TOKEN.replace('{20,}', f'{{{least},}}')})"), F.lit(1))
+    told = seen.withColumn("found", found).select((F.size("found") > 0).alias("random"), F.when(F.size("found") > 0, F.col("found")).otherwise(plain).alias("tokens"))
+    return told.select("random", F.explode("tokens").alias("token")).groupBy("random", "token").agg(F.count("*").alias("n")).select("token", "random", "n")
+
+
+def train(*labelled: DataFrame) -> list[float]:
+    """Tables (token, random, n if there are counts) -> log ratio for each pair of characters, row by row over the
+    alphabet. A model is the mean of the tables' models, so that none drowns another by its size; a table without tokens
+    of a label has no part in it."""
     n = len(ALPHABET)
-    pairs = labelled.select("random", "token", F.explode(F.sequence(F.lit(1), F.greatest(F.length("token") - 1, F.lit(1)))).alias("i")).where(F.length("token") > 1)
-    pairs = pairs.select("random", F.expr(f"instr('{ALPHABET}', substring(token, i, 1)) - 1").alias("a"), F.expr(f"instr('{ALPHABET}', substring(token, i + 1, 1)) - 1").alias("b")).where("a >= 0 AND b >= 0")
-    counts = [[1.0] * (n * n) for _ in range(2)]
-    for row in pairs.groupBy("random", "a", "b").count().collect():  # at most 2 x 67 x 67 rows
-        counts[bool(row.random)][row.a * n + row.b] += row["count"]
-    logs = [[math.log(c) - math.log(sum(m[i // n * n : i // n * n + n])) for i, c in enumerate(m)] for m in counts]
-    return [r - p for p, r in zip(*logs, strict=True)]
+    models: list[list[list[float]]] = [[], []]
+    for table in labelled:
+        weighted = table.withColumn("n", F.lit(1)) if "n" not in table.columns else table
+        pairs = weighted.select("random", "token", "n", F.explode(F.sequence(F.lit(1), F.greatest(F.length("token") - 1, F.lit(1)))).alias("i")).where(F.length("token") > 1)
+        pairs = pairs.select("random", "n", F.expr(f"instr('{ALPHABET}', substring(token, i, 1)) - 1").alias("a"), F.expr(f"instr('{ALPHABET}', substring(token, i + 1, 1)) - 1").alias("b")).where("a >= 0 AND b >= 0")
+        counts = [[1.0] * (n * n) for _ in range(2)]
+        some = [False, False]
+        for row in pairs.groupBy("random", "a", "b").agg(F.sum("n").alias("n")).collect():  # at most 2 x 67 x 67 rows
+            counts[bool(row.random)][row.a * n + row.b] += row.n
+            some[bool(row.random)] = True
+        for label in (0, 1):
+            if some[label]:
+                rows = [sum(counts[label][k * n : k * n + n]) for k in range(n)]
+                models[label].append([c / rows[i // n] for i, c in enumerate(counts[label])])
+    means = [[sum(p) / len(p) for p in zip(*m, strict=True)] if m else [1 / n] * (n * n) for m in models]
+    return [math.log(r) - math.log(p) for p, r in zip(*means, strict=True)]
 
 
 def markov_score(token: Column, weights: list[float]) -> Column:
@@ -143,6 +174,8 @@ def report(docs: DataFrame, weights: list[float], threshold: float = 0.4) -> Dat
 def redact(docs: DataFrame, weights: list[float], threshold: float = 0.4, mask: str = "[SECRET]") -> DataFrame:
     """The documents with every span of their texts replaced by the mask, other columns as they were (n_chars is
     counted anew where a text changed). Null texts stay null."""
+    columns, own = docs.columns, ("text", "n_chars")
+    docs = carry(docs, *own)
     text = F.coalesce(F.col("text"), F.lit(""))
     found = docs.select("*", let(base_spans(text), lambda b: F.array_sort(F.concat(b, markov_spans(text, b, weights, threshold)), lambda x, y: F.when(x["s"] != y["s"], x["s"] - y["s"]).otherwise(x["e"] - y["e"]))).alias("_spans"))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
@@ -157,4 +190,4 @@ def redact(docs: DataFrame, weights: list[float], threshold: float = 0.4, mask:
     out = found.withColumn("text", F.when(changed, cut).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return carried(out, columns, tuple(c for c in own if c in columns))

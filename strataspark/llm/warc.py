@@ -46,27 +46,38 @@ def _open(uri: str, mode: str):
     return fs, path, (fs.open_input_stream(path, compression=None) if mode == "rb" else fs.open_output_stream(path, compression=None))
 
 
+def _part(uri: str) -> str:
+    """What an attempt writes before the file has its name: attempts that run at once do not share it."""
+    return f"{uri}.{_attempt()}.part"
+
+
 def _renamed(uri: str) -> None:
     fs, path = pafs.FileSystem.from_uri(uri)
-    fs.move(f"{path}.part", path)
+    fs.move(_part(path), path)
+
+
+def record_id(page_id: int | None, digest: str, turn: str = "") -> str:
+    """A response's id, which revisits name; turn tells other records of a page apart from it."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{page_id}:{digest}:{turn}')}>"
 
 
 def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()  # noqa: S324  the format's digest
 
 
-def record(kind: str, page_id: int | None, url: str | None, payload: bytes, digest: str, size: int, refers_to: int | None = None) -> bytes:
-    """One WARC record. A revisit's block ends with the HTTP headers; its payload is that of the record it names."""
+def record(kind: str, page_id: int | None, url: str | None, payload: bytes, digest: str, size: int, refers_to: int | None = None, turn: str = "") -> bytes:
+    """One WARC record; turn as in record_id. A revisit's block ends with the HTTP headers; its payload is that of the record it names."""
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
     block = head + (payload if kind == "response" else b"")
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{page_id}:{digest}:{kind}')}>", f"WARC-Date: {_DATE}", f"WARC-Payload-Digest: sha1:{digest}"]
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id, digest, turn)}", f"WARC-Date: {_DATE}", f"WARC-Payload-Digest: sha1:{digest}"]
     if url is not None:
         lines.append(f"WARC-Target-URI: {quote(url, safe=':/?#[]@!$&()*+,;=%~')}")
     if page_id is not None:
         lines.append(f"X-Page-ID: {page_id}")
     if kind == "revisit":
         lines.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
-        lines.append(f"WARC-Refers-To: <urn:page:{refers_to}>")
+        lines.append(f"WARC-Refers-To: {record_id(refers_to, digest)}")
+        lines.append(f"X-Refers-To-Page-ID: {refers_to}")
     lines.append("Content-Type: application/http; msgtype=response")
     lines.append(f"Content-Length: {len(block)}")
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -127,8 +138,8 @@ def normalise(source: str, target: str, level: int = LEVEL) -> tuple[str, int]:
     type). Returns the index's URI and the number of records."""
     offset = count = 0
     *_, src = _open(source, "rb")
-    *_, out = _open(f"{target}.part", "wb")
-    *_, idx = _open(f"{target}.idx.part", "wb")
+    *_, out = _open(_part(target), "wb")
+    *_, idx = _open(_part(f"{target}.idx"), "wb")
     with src, out, idx:
         for raw in split_records(inflated(src)):
             headers, _, _ = parse(raw)
@@ -154,13 +165,15 @@ def _attempt() -> str:
 
 
 def planned(pages: DataFrame, least: int = 0) -> DataFrame:
-    """page_id, url, html, digest hex, size, keeper: the page whose record holds the payload, null for a response."""
+    """page_id, url, payload, digest, size, keeper: the page whose record holds the payload, null for a response, and
+    named: whether revisits name the record. Its id follows from the page and the payload (repeated rows of that page are
+    one record, written as often); the ids of all other records follow from their place."""
     rows = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("sha", F.unhex(F.sha1("payload"))).withColumn("size", F.octet_length("payload").cast("long"))
     keepers = rows.where(F.col("size") >= least).groupBy(F.col("sha").alias("k_sha")).agg(F.max("page_id").alias("keeper"), F.count("*").alias("copies")).where("copies > 1 AND keeper IS NOT NULL")
     joined = rows.join(keepers.select("k_sha", "keeper"), F.col("sha") == F.col("k_sha"), "left")
     revisit = F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
-    return joined.select("page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "sha", "size", F.when(revisit, F.col("keeper")).alias("keeper"))
+    return joined.select("page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "sha", "size", F.when(revisit, F.col("keeper")).alias("keeper"), F.coalesce(F.col("page_id") == F.col("keeper"), F.lit(False)).alias("named"))
 
 
 def write_archives(plan: DataFrame, folder: str) -> DataFrame:
@@ -170,10 +183,11 @@ def write_archives(plan: DataFrame, folder: str) -> DataFrame:
         path, out, count = f"{folder}/raw-{_attempt()}.warc.gz", None, 0
         engine = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
         for batch in batches:
-            for page_id, url, payload, sha, size, keeper in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for page_id, url, payload, sha, size, keeper, named in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if out is None:
-                    *_, out = _open(f"{path}.part", "wb")
-                raw = record("response" if keeper is None else "revisit", page_id, url, payload or b"", base64.b32encode(sha).decode(), size, keeper)
+                    *_, out = _open(_part(path), "wb")
+                turn = "" if named else f"{path.rpartition('/')[2]}:{count}"
+                raw = record("response" if keeper is None else "revisit", page_id, url, payload or b"", base64.b32encode(sha).decode(), size, keeper, turn)
                 out.write(engine.compress(raw))
                 count += 1
         if out is not None:
@@ -182,7 +196,7 @@ def write_archives(plan: DataFrame, folder: str) -> DataFrame:
             _renamed(path)
             yield pa.RecordBatch.from_pydict({"path": [path], "index": pa.array([None], pa.string()), "records": [count]})
 
-    return plan.select("page_id", "url", "payload", "sha", "size", "keeper").mapInArrow(write, _FILES)
+    return plan.select("page_id", "url", "payload", "sha", "size", "keeper", "named").mapInArrow(write, _FILES)
 
 
 def normalise_archives(files: DataFrame, folder: str) -> DataFrame:
@@ -227,8 +241,8 @@ def read_archives(files: DataFrame) -> DataFrame:
                         size = next(int(x[15:]) for x in http.split(b"\r\n") if x[:15].lower() == b"content-length:")
                         if kind == "response" and (len(payload) != size or digest_of(payload) != digest):
                             raise ValueError(f"{path} at {entry['offset']}: the payload is not what its headers say")
-                        page, refers = headers.get("x-page-id"), headers.get("warc-refers-to")
-                        rows.append((None if page is None else int(page), size, digest, kind, None if refers is None else int(refers.removeprefix("<urn:page:").rstrip(">"))))
+                        page, refers = headers.get("x-page-id"), headers.get("x-refers-to-page-id")
+                        rows.append((None if page is None else int(page), size, digest, kind, None if refers is None else int(refers)))
                         if len(rows) == 5000:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
                             rows = []
