@@ -26,3 +26,16 @@ def seeds(polygons: DataFrame, by: str, key: str, area: str) -> DataFrame:
     """by, key, area, seed: polygons numbered from 1 within `by`, the largest first, ties by key, null areas last."""
     number = F.row_number().over(Window.partitionBy(by).orderBy(F.col(area).desc_nulls_last(), key))
     return polygons.select(by, key, area, number.alias("seed"))
+
+
+def not_empty(points: DataFrame, name: str = "") -> DataFrame:
+    """points; an error if there are none. Reads up to its first row."""
+    if points.isEmpty():
+        raise ValueError(f"empty point cloud: {name}")
+    return points
+
+
+def large_clusters(labels: DataFrame, cluster: str, over: int = 100) -> DataFrame:
+    """Rows of clusters of more than `over` rows; noise (null) goes. The counts are a row a cluster."""
+    kept = labels.groupBy(cluster).count().where(F.col("count") > over).select(cluster)
+    return labels.join(kept, cluster, "left_semi")

@@ -52,3 +52,11 @@ def f12_pruned_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes that some edge touches."""
     edges = cloud(spark, sf_dir, "sparse_edges").select(F.col("a").alias("src"), F.col("b").alias("dst"))
     return pairs.drop_isolated(cloud(spark, sf_dir, "parts").select(F.col("pid").alias("node")), edges)
+
+
+@query(sql("pts") + " SELECT grp, count(*)::BIGINT AS n FROM pts WHERE grp % 13 <> 0 GROUP BY grp HAVING count(*) > 100")
+def c8_large_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of the clusters of more than a hundred points, groups divisible by 13 being noise."""
+    points = lookup.not_empty(cloud(spark, sf_dir, "pts"), "pts")
+    labels = points.select("pid", F.when(F.col("grp") % 13 != 0, F.col("grp")).alias("grp"))
+    return lookup.large_clusters(labels, "grp").groupBy("grp").agg(F.count("*").alias("n"))

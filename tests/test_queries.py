@@ -9,7 +9,7 @@ import pytest
 from strataspark.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
-QUICK = ("agg_plane_fits", "v_three_planes", "v_polygons", "f_filters", "a_heat_map", "a_quantile_bands", "s_qfacet", "j1_knn", "j2_radius", "j4_ball_pairs", "t2_sliding_tiles", "c6_dbscan", "k2_hull_polygons", "r1_best_planes", "g5_triangles", "b7_half_space_corners", "j12_clusters", "f2_curvature_split", "t4_seeds", "f12_pruned_nodes")
+QUICK = ("agg_plane_fits", "v_three_planes", "v_polygons", "f_filters", "a_heat_map", "a_quantile_bands", "s_qfacet", "j1_knn", "j2_radius", "j4_ball_pairs", "t2_sliding_tiles", "c6_dbscan", "k2_hull_polygons", "r1_best_planes", "g5_triangles", "b7_half_space_corners", "j12_clusters", "f2_curvature_split", "t4_seeds", "f12_pruned_nodes", "c8_large_clusters")
 
 
 def plain(v):
