@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataspark.llm import decontaminate, jaccard, mixing, quality_classifier, quality_rules, secrets, substring_dedup, suffix_dedup, url_filter, warc
-from strataspark.llm.base import materialize, shared_folder, table
+from strataspark.llm import decontaminate, jaccard, line_dedup, merkle, mixing, quality_classifier, quality_rules, secrets, substring_dedup, suffix_dedup, url_filter, warc
+from strataspark.llm.base import Store, materialize, shared_folder, table
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,5 +61,22 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mixing, op2_ngram_jaccard, op2_ngram_jaccard_links, op3_suffix_array_dedup, op4_benchmark_decontamination, op5_quality_classifier, op6_url_filter, op7_quality_rules, op8_substring_dedup, op9_secret_scan, op10_warc)}
-ORACLES: dict[str, str] = {"op1_source_mixing": mixing.MIX_SQL.format(docs="documents"), "op2_ngram_jaccard": jaccard.CLUSTER_SQL, "op2_ngram_jaccard_links": jaccard.LINKS_SQL, "op6_url_filter": url_filter.JUDGE_SQL}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree's levels are removed once the manifest is whole."""
+    store = Store(spark, "merkle")
+    try:
+        return materialize(merkle.report(table(spark, sf_dir, "documents"), store))
+    finally:
+        store.clear()
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = Store(spark, "line-dedup")
+    try:
+        return materialize(line_dedup.report(table(spark, sf_dir, "documents"), store))
+    finally:
+        store.clear()
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mixing, op2_ngram_jaccard, op2_ngram_jaccard_links, op3_suffix_array_dedup, op4_benchmark_decontamination, op5_quality_classifier, op6_url_filter, op7_quality_rules, op8_substring_dedup, op9_secret_scan, op10_warc, op11_merkle_manifest, op12_line_dedup)}
+ORACLES: dict[str, str] = {"op1_source_mixing": mixing.MIX_SQL.format(docs="documents"), "op2_ngram_jaccard": jaccard.CLUSTER_SQL, "op2_ngram_jaccard_links": jaccard.LINKS_SQL, "op6_url_filter": url_filter.JUDGE_SQL, "op11_merkle_manifest": merkle.REPORT_SQL, "op12_line_dedup": line_dedup.REPORT_SQL}
