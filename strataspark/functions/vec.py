@@ -78,7 +78,8 @@ def axis(k: int) -> V3:
 
 
 def clip(c: Column, low: float = -1.0, high: float = 1.0) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), c))
+    """c between low and high; null stays null."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), c)))
 
 
 def unit(v: V3, floor: float = 1e-12) -> V3:

@@ -90,3 +90,31 @@ def loop_edges(polygons: DataFrame, key: str, ids: str) -> DataFrame:
 
 def distinct_edges(loops: DataFrame) -> DataFrame:
     return loops.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()
+
+
+def value_counts(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, value, n): how often each value occurs in each group. Counts of parts of a table add up to those of the
+    whole, and means, deviations and quantiles follow from them."""
+    return df.groupBy(*by, value).agg(F.count("*").alias("n"))
+
+
+def summary_of_counts(counts: DataFrame, by: list[str], value: str, quantiles: dict[str, float], fence: float = 1.5) -> DataFrame:
+    """(by, n_rows, n, total, mean, std, quantiles, n_outside) of value_counts(), or of several of them together. A
+    quantile q is the least value that a share q of the rows does not exceed; n_outside counts values beyond the
+    outermost of the quantiles by more than `fence` times their distance. Rows of a null value are in n_rows alone."""
+    whole, upto = Window.partitionBy(*by), Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    merged = counts.groupBy(*by, value).agg(F.sum("n").alias("n"))
+    known = F.col(value).isNotNull()
+    weight = F.when(known, F.col("n")).otherwise(F.lit(0))
+    total = F.sum(F.col(value) * weight)
+    placed = merged.withColumns({"_n": F.sum(weight).over(whole), "_at": F.sum(weight).over(upto), "_mean": total.over(whole) / F.nullif(F.sum(weight).over(whole), F.lit(0))})
+    placed = placed.withColumns({f"_{k}": F.min(F.when(known & (F.col("_at") >= q * F.col("_n")), F.col(value))).over(whole) for k, q in quantiles.items()})
+    low, high = min(quantiles, key=quantiles.get), max(quantiles, key=quantiles.get)
+    reach = fence * (F.col(f"_{high}") - F.col(f"_{low}"))
+    outside = known & ((F.col(value) < F.col(f"_{low}") - reach) | (F.col(value) > F.col(f"_{high}") + reach))
+    spread = F.sum(weight * (F.col(value) - F.col("_mean")) * (F.col(value) - F.col("_mean")))
+    std = F.sqrt(spread / F.nullif(F.sum(weight) - 1, F.lit(0)))
+    return placed.groupBy(*by).agg(
+        F.sum("n").alias("n_rows"), F.sum(weight).alias("n"), total.alias("total"), F.first("_mean").alias("mean"), std.alias("std"),
+        *[F.first(f"_{k}").alias(k) for k in quantiles], F.sum(F.when(outside, F.col("n")).otherwise(0)).alias("n_outside"),
+    )
