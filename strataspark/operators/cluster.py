@@ -6,12 +6,12 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataspark.functions.vec import unit, vec
 from strataspark.operators.graph import components, cut_lineage
-from strataspark.operators.spatial import knn, nearest_center, radius_join
+from strataspark.operators.spatial import knn, nearest_center, radius_join, with_cells, with_near_cells
 
 XYZ = ("x", "y", "z")
 
@@ -124,28 +124,50 @@ def eps_by_neighbours(points: DataFrame, k: int, quantile: float, size: float, b
     return joined.select(*by, F.when(F.col("count") <= k, 0.0).otherwise(F.coalesce("q", F.lit(0.0))).alias("eps"))
 
 
-def set_grouping(normals: DataFrame, degrees: float = 30.0, key: str = "pid", most: int = 20_000) -> DataFrame:
+def set_grouping(normals: DataFrame, degrees: float = 30.0, key: str = "pid", at_once: int = 2_000) -> DataFrame:
     """(key, set): in order, a facet without a set founds one, and every later facet within the angle of it joins
-    (leaving the set it was in). A fold over few facets, whose number is checked."""
-    n = normals.count()
-    if n > most:
-        raise ValueError(f"{n} facets; the bound of set_grouping is {most}")
+    (leaving the set it was in). Exact for any number of facets.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key)
-        v = pdf[list(XYZ)].to_numpy()
-        sets = np.full(len(v), -1, dtype=np.int64)
-        number = 0
-        for i in range(len(v)):
-            if sets[i] >= 0:
-                continue
-            sets[i] = number
-            near = np.degrees(np.arccos(np.clip(v[i + 1 :] @ v[i], -1, 1))) < degrees
-            sets[i + 1 :][near] = number
-            number += 1
-        return pd.DataFrame({key: pdf[key].to_numpy(), "set": sets})
-
-    return normals.select(key, *XYZ).withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(run, f"{key} long, set long")
+    The next founder is always the least facet that no founder covers. A round takes the at_once least of these to the
+    driver, where the fold over them tells which are founders, and drops what they cover from the rest; founders are
+    further apart than the angle, so there are few rounds and founders however many facets there are."""
+    least = math.cos(math.radians(degrees))
+    rest = normals.select(key, *XYZ)
+    spark, founders = normals.sparkSession, []
+    while True:
+        first = rest.orderBy(key).limit(at_once).collect()  # a bounded number
+        fresh: list = []
+        v = np.zeros((0, 3))
+        for row in first:
+            x = np.array([row[a] for a in XYZ])
+            if not (np.degrees(np.arccos(np.clip(v @ x, -1, 1))) < degrees).any():
+                fresh.append(row)
+                v = np.vstack([v, x])
+        founders += [(len(founders) + k, *row) for k, row in enumerate(fresh)]
+        if len(first) < at_once:
+            break
+        table = spark.createDataFrame([tuple(row) for row in fresh], rest.schema).select(*[F.col(c).alias(f"n_{c}") for c in (key, *XYZ)])
+        rest = cut_lineage(rest.where(F.col(key) > first[-1][key]).join(F.broadcast(table), _within(least, degrees), "left_anti"))  # at most at_once rows
+    table = spark.createDataFrame(founders, f"set long, n_{key} long, n_x double, n_y double, n_z double") if founders else spark.createDataFrame([], f"set long, n_{key} long, n_x double, n_y double, n_z double")
+    pairs = _near_directions(normals.select(key, *XYZ), table, degrees)
+    joined = pairs.where((F.col(f"n_{key}") == F.col(key)) | ((F.col(f"n_{key}") < F.col(key)) & _within(least, degrees)))
+    return joined.groupBy(key).agg(F.max("set").alias("set"))
+
+
+def _within(least: float, degrees: float) -> Column:
+    """Whether the angle between (x, y, z) and (n_x, n_y, n_z) is less than degrees."""
+    dot = sum((F.col(a) * F.col(f"n_{a}") for a in "yz"), F.col("x") * F.col("n_x"))
+    return (dot > least - 1e-9) & (F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot)))) < degrees)
+
+
+def _near_directions(normals: DataFrame, others: DataFrame, degrees: float) -> DataFrame:
+    """Pairs of unit vectors that may be within the angle, by cells as wide as its chord."""
+    size = 2 * math.sin(math.radians(min(degrees, 180.0)) / 2) * (1 + 1e-6) + 1e-9
+    near = with_near_cells(normals, size, size)
+    cells = with_cells(others.select("*", *[F.col(f"n_{a}").alias(f"_{a}") for a in XYZ]), size, ("_x", "_y", "_z")).drop("_x", "_y", "_z")
+    for a in XYZ:
+        cells = cells.withColumnRenamed(f"_c_{a}", f"_c{a}")
+    return near.join(cells, [f"_c{a}" for a in XYZ]).drop(*[f"_c{a}" for a in XYZ])
 
 
 def kmeans_choice(normals: DataFrame, seed: int = 7, by_k: tuple[int, ...] = (2, 3), single: float = 0.85, least: float = 0.35) -> DataFrame:

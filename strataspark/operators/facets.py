@@ -150,19 +150,36 @@ def propagate_orientation(normals: DataFrame, pairs: DataFrame, key: str = "pid"
     return signed.join(top, "node").join(up, "component").select(F.col("node").alias(key), (F.col("sign") * F.col("up")).alias("sign"))
 
 
-def boundary_by_normals(normals: DataFrame, radius: float, degrees: float, least: int, key: str = "pid") -> DataFrame:
-    """(key, spread, boundary): the greatest angle between two normals of the closed ball around each point, exact,
-    null under `least` neighbours. normals: key, x, y, z, nx, ny, nz.
-
-    The ball's pairs are not enumerated: the extreme pair is sought among the ball's normals as one array."""
+def boundary_by_normals(normals: DataFrame, radius: float, degrees: float, least: int, key: str = "pid", exact: bool = True, mark_all: bool = False) -> DataFrame:
+    """(key, spread, boundary): the greatest angle between two normals of the closed ball around each point, null under
+    `least` neighbours; a point is of the boundary where that is `degrees` at least, or, with mark_all, where a ball with
+    such a spread holds it. normals: key, x, y, z, nx, ny, nz.
+
+    exact: the extreme pair is sought among the ball's different normals as one array, of which each is compared with
+    all. Otherwise in two steps, each linear in the ball: the normal farthest from that of the ball's least key, and the
+    angle from it to the one farthest from it. That is a lower bound of the greatest angle, and at least half of it."""
     from strataspark.operators.spatial import radius_join
 
     near = radius_join(normals.select(key, *XYZ), normals.select(key, *XYZ, "nx", "ny", "nz"), radius)
-    ball = near.groupBy(key).agg(F.count("*").alias("m"), F.collect_set(F.struct(F.col("n_nx").alias("x"), F.col("n_ny").alias("y"), F.col("n_nz").alias("z"))).alias("ns"))  # one ball
-    low = F.array_min(F.transform("ns", lambda p: F.array_min(F.transform("ns", lambda q: p["x"] * q["x"] + p["y"] * q["y"] + p["z"] * q["z"]))))
-    angle = F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), low))))
-    spread = F.when(F.col("m") >= least, angle)
-    return ball.select(key, spread.alias("spread")).withColumn("boundary", F.coalesce(F.col("spread") >= degrees, F.lit(False)))
+    normal = F.struct(F.col("n_nx").alias("x"), F.col("n_ny").alias("y"), F.col("n_nz").alias("z"))
+    if exact:
+        ball = near.groupBy(key).agg(F.count("*").alias("m"), F.collect_set(normal).alias("ns"))  # one ball
+        low = F.array_min(F.transform("ns", lambda p: F.array_min(F.transform("ns", lambda q: p["x"] * q["x"] + p["y"] * q["y"] + p["z"] * q["z"]))))
+        ball = ball.select(key, "m", low.alias("low"))
+    else:
+        ball_of = Window.partitionBy(key)
+        dot = lambda c: F.col("n_nx") * F.col(f"{c}.x") + F.col("n_ny") * F.col(f"{c}.y") + F.col("n_nz") * F.col(f"{c}.z")
+        one = near.select(key, f"n_{key}", "n_nx", "n_ny", "n_nz").withColumn("_a", F.min_by(normal, F.col(f"n_{key}")).over(ball_of))
+        two = one.withColumn("_b", F.min_by(normal, F.struct(dot("_a"), F.col(f"n_{key}"))).over(ball_of))
+        ball = two.groupBy(key).agg(F.count("*").alias("m"), F.min(dot("_b")).alias("low"))
+    angle = F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("low")))))
+    spread = ball.select(key, F.when(F.col("m") >= least, angle).alias("spread"))
+    told = spread.withColumn("boundary", F.coalesce(F.col("spread") >= degrees, F.lit(False)))
+    if not mark_all:
+        return told
+    told = cut_lineage(told)
+    held = near.select(key, f"n_{key}").join(told.where("boundary").select(key), key, "left_semi").select(F.col(f"n_{key}").alias(key)).distinct().withColumn("_held", F.lit(True))
+    return told.join(held, key, "left").select(key, "spread", F.coalesce("_held", F.lit(False)).alias("boundary"))
 
 
 def from_cloud(points: DataFrame, k: int = 30, most_curvature: float = 0.06, degrees: float = 15.0, merge_degrees: float = 5.0, least_group: int = 100, flat_degrees: float = 10.0, eps: float = -1.0, least_core: int = 50, cell: float = 1.0, mode: str = "auto", key: str = "pid") -> DataFrame:

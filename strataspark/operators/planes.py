@@ -6,7 +6,7 @@ large coordinates cost no precision. Eigenvalues are closed-form expressions aft
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataspark.functions.eig3 import with_eigen
@@ -58,10 +58,18 @@ def roughness(points: DataFrame, planes: DataFrame, by: list[str]) -> DataFrame:
     return residuals(points, planes, by).groupBy(*by).agg(F.count("*").alias("n"), F.stddev_pop("residual").alias("rms"), (F.max("residual") - F.min("residual")).alias("zrange"))
 
 
-def neighbour_planes(pairs: DataFrame, key: str = "pid", least: int = 3) -> DataFrame:
-    """(key, n_x, n_y, n_z) pairs -> a plane for each key by its neighbourhood; curvature 0 under `least` points."""
+def neighbour_planes(pairs: DataFrame, key: str = "pid", least: int = 3, cap: int | None = None, default: tuple[float, float, float] | None = None) -> DataFrame:
+    """(key, n_x, n_y, n_z) pairs -> a plane for each key by its neighbourhood; curvature 0 under `least` points.
+
+    default: the normal of points with fewer. cap: a sample of at most that many neighbours stands for a larger
+    neighbourhood, those of the least hash of (key, n_key), so that it is the same in any run."""
+    if cap is not None:
+        by_hash = Window.partitionBy(key).orderBy(F.xxhash64(key, f"n_{key}"), f"n_{key}")
+        pairs = pairs.withColumn("_rank", F.row_number().over(by_hash)).where(F.col("_rank") <= cap).drop("_rank")
     planes = with_plane(moments(pairs, [key], ("n_x", "n_y", "n_z")))
     few = F.col("n") < least
+    if default is not None:
+        planes = planes.withColumns({c: F.when(few, F.lit(float(v))).otherwise(F.col(c)) for c, v in zip("abc", default, strict=True)})
     return planes.withColumn("curvature", F.when(few, 0.0).otherwise(F.col("curvature")))
 
 

@@ -61,12 +61,32 @@ def knn(points: DataFrame, others: DataFrame, k: int, size: float, key: str = "p
 
     Rounds double the reach: a point is done when its k-th distance is within the reach, for nothing beyond can be
     nearer. After `rings` rounds the points left, which are far outliers, are counted each time, until none is left or
-    the reach spans both sides.
+    the reach spans both sides. Groups of no more than k others need no search: their points take all of them.
     """
-    result, left = None, points
-    reach, span, turn = float(size), math.inf, 0
-    order = Window.partitionBy(key).orderBy("d2", f"n_{key}")
     names = [key, f"n_{key}", "d2", "rank"]
+    order = Window.partitionBy(key).orderBy("d2", f"n_{key}")
+    prefixed = others.select(*[F.col(c).alias(f"n_{c}") for c in (key, *axes, *by)])
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"n_{c}"))
+    if by:
+        few = cut_lineage(others.groupBy(*by).count().where(F.col("count") <= k).select(*[F.col(c).alias(f"f_{c}") for c in by]))
+        known = F.lit(True)
+        for c in by:
+            known = known & F.col(c).eqNullSafe(F.col(f"f_{c}"))
+        inside = points.join(few, known, "left_semi").join(prefixed, same)
+        points = points.join(few, known, "left_anti")
+    elif len(others.select(key).head(k + 1)) <= k:
+        inside = points.crossJoin(F.broadcast(prefixed.limit(k)))  # at most k rows
+        points = points.limit(0)
+    else:
+        inside = None
+    result = None if inside is None else inside.withColumn("d2", distance2(axes)).withColumn("rank", F.row_number().over(order)).select(*names)
+    if by == () and inside is not None:
+        return result
+    # points of groups that others lack have no neighbours and would never be done
+    left = points.join(others.select(*[F.col(c).alias(f"f_{c}") for c in by]).distinct(), known, "left_semi") if by else points
+    reach, span, turn = float(size), math.inf, 0
     while True:
         turn += 1
         near = with_near_cells(left, reach, reach, axes)
@@ -77,7 +97,7 @@ def knn(points: DataFrame, others: DataFrame, k: int, size: float, key: str = "p
             pairs = pairs.where(F.col(c).eqNullSafe(F.col(f"n_{c}")))
         ranked = pairs.withColumn("d2", distance2(axes)).where(F.col("d2") <= reach * reach).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         if reach >= span:  # all others are within the reach
-            return result.unionByName(ranked.select(*names))
+            return ranked.select(*names) if result is None else result.unionByName(ranked.select(*names))
         full = ranked.where(F.col("rank") == k).select(F.col(key).alias("_done"))
         done = ranked.join(full, F.col(key) == F.col("_done")).select(*names)
         result = done if result is None else result.unionByName(done)
@@ -92,12 +112,21 @@ def knn(points: DataFrame, others: DataFrame, k: int, size: float, key: str = "p
                 span = math.sqrt(sum((box[a] or 0.0) ** 2 for a in axes)) * (1 + 1e-9) + 1e-300
 
 
-def nearest_center(points: DataFrame, centers: DataFrame, axes: tuple[str, ...] = XYZ, center: str = "center_id", most_centers: int = 100_000) -> DataFrame:
-    """points with the center of the greatest dot product, ties to the least id. Centers are few by construction;
-    their number is checked before they are broadcast."""
+def nearest_center(points: DataFrame, centers: DataFrame, axes: tuple[str, ...] = XYZ, center: str = "center_id", most_centers: int = 1_000) -> DataFrame:
+    """points with the center of the greatest dot product, ties to the least id; points and centers are unit vectors.
+
+    Up to most_centers go along with every row as an array. More are looked up in cells: for unit vectors the greatest
+    dot product is the least distance, so the nearest center is the nearest neighbour among centers, a point of a
+    direction being asked for once."""
     if centers.count() > most_centers:
-        raise ValueError(f"more than {most_centers} centers: nearest_center is for a reduced set")
-    packed = centers.agg(F.sort_array(F.collect_list(F.struct(F.col(center).alias("id"), *[F.col(a).alias(a) for a in axes]))).alias("_centers"))
+        asked = cut_lineage(points.select(*axes).distinct().withColumn("_key", F.monotonically_increasing_id()))
+        reach = 2.0 / max(float(centers.count()) ** 0.5, 1.0)
+        near = knn(asked, centers.select(F.col(center).alias("_key"), *axes), 1, reach, "_key", axes)
+        told = near.join(centers.select(F.col(center).alias("n__key"), *[F.col(a).alias(f"_o{a}") for a in axes]), "n__key")
+        cosine = sum((F.col(a) * F.col(f"_o{a}") for a in axes[1:]), F.col(axes[0]) * F.col(f"_o{axes[0]}"))
+        found = asked.join(told, "_key").select(*axes, F.col("n__key").alias(center), cosine.alias("cosine"))
+        return points.join(found, list(axes)).select(*points.columns, center, "cosine")
+    packed = centers.agg(F.sort_array(F.collect_list(F.struct(F.col(center).alias("id"), *[F.col(a).alias(a) for a in axes]))).alias("_centers"))  # most_centers entries
     score = lambda c: sum((c[a] * F.col(a) for a in axes[1:]), c[axes[0]] * F.col(axes[0]))
     best = F.array_max(F.transform("_centers", lambda c: F.struct(score(c).alias("s"), (-c["id"]).alias("i"))))
     return points.crossJoin(F.broadcast(packed)).withColumn("_best", best).select(*points.columns, (-F.col("_best.i")).alias(center), F.col("_best.s").alias("cosine"))
@@ -148,10 +177,14 @@ def adjacent_owners(points: DataFrame, owner: str, radius: float) -> DataFrame:
 
 
 def adjacent_owners_of_near_centers(points: DataFrame, centers: DataFrame, owner: str, radius: float, center_radius: float) -> DataFrame:
-    """As adjacent_owners, among owners whose centers are near; a pair is settled by its first pair of points."""
+    """As adjacent_owners, among owners whose centers are near: a point goes to the near owners first, and meets only
+    their points of its cells."""
     near = radius_join(centers.select(owner, *XYZ), centers.select(owner, *XYZ), center_radius)
-    near = near.where(F.col(owner) < F.col(f"n_{owner}")).select(F.col(owner).alias("a"), F.col(f"n_{owner}").alias("b"))
-    return near.join(adjacent_owners(points, owner, radius), ["a", "b"], "left_semi")
+    near = cut_lineage(near.where(F.col(owner) < F.col(f"n_{owner}")).select(F.col(owner).alias("a"), F.col(f"n_{owner}").alias("b")))
+    asking = with_near_cells(points.select(F.col(owner).alias("a"), *XYZ).join(near, "a"), radius, radius)
+    asked = with_cells(points, radius).select(F.col(owner).alias("b"), *[F.col(a).alias(f"n_{a}") for a in XYZ], *[f"_c{a}" for a in XYZ])
+    pairs = asking.join(asked, ["b", *[f"_c{a}" for a in XYZ]])
+    return pairs.where(distance2() <= radius * radius).select("a", "b").distinct()
 
 
 def outliers(points: DataFrame, k: int, ratio: float, radius: float, least: int, size: float, key: str = "pid") -> DataFrame:

@@ -1,113 +1,48 @@
 """Point files: PLY (ascii and binary), XYZ, LAS 1.2 and NPZ, read and written.
 
-Files are read by Spark's binaryFile source, so any store that Spark reads will do; a file is parsed in one task, in
-pieces. Text formats that split go through Spark's text readers. Binary files are written by the tasks into a folder
-that driver and executors share, under a name of the task's own that is renamed once the file is whole.
+PLY and LAS are read in byte ranges by the sources of formats.py; text formats that split go through Spark's text
+readers, NPZ through binaryFile. Binary files are written by the tasks into a folder that driver and executors share,
+under a name of the task's own that is renamed once the file is whole.
 """
 
 from __future__ import annotations
 
 import io
-import re
 import struct
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: PLY's type names: numpy code, Spark type. Fixed values.
-PLY_TYPES = {
-    "char": ("i1", "short"), "int8": ("i1", "short"), "uchar": ("u1", "short"), "uint8": ("u1", "short"), "short": ("i2", "short"), "int16": ("i2", "short"), "ushort": ("u2", "int"), "uint16": ("u2", "int"),
-    "int": ("i4", "int"), "int32": ("i4", "int"), "uint": ("u4", "long"), "uint32": ("u4", "long"), "float": ("f4", "float"), "float32": ("f4", "float"), "double": ("f8", "double"), "float64": ("f8", "double"),
-}
-PIECE = 200_000
-
-
-def parse_header(head: bytes) -> tuple[str, list[tuple[str, int, list]], int]:
-    """(format, elements as (name, count, [(property, type)]), bytes of the header). List properties have a tuple
-    (count type, item type) as type."""
-    end = re.search(rb"end_header\r?\n", head)
-    if not head.startswith(b"ply") or end is None:
-        raise ValueError("not a PLY file")
-    kind, elements = "", []
-    for line in head[: end.start()].decode("ascii", "replace").splitlines():
-        words = line.split()
-        if words[:1] == ["format"]:
-            kind = words[1]
-        elif words[:1] == ["element"]:
-            elements.append((words[1], int(words[2]), []))
-        elif words[:1] == ["property"]:
-            elements[-1][2].append((words[-1], (words[2], words[3]) if words[1] == "list" else words[1]))
-    return kind, elements, end.end()
-
-
-def vertex_schema(elements: list) -> str:
-    fields = next((p for name, _, p in elements if name == "vertex"), None)
-    if fields is None or not {"x", "y", "z"} <= {n for n, _ in fields}:
-        raise ValueError("the file has no vertices with x, y, z")
-    return ", ".join(f"`{n}` {PLY_TYPES[t][1]}" for n, t in fields if isinstance(t, str))
-
-
-def parse_vertices(content: bytes) -> Iterator[dict[str, np.ndarray]]:
-    """The vertices in pieces, columns by name. Elements before the vertices must have no lists (ascii: any)."""
-    kind, elements, at = parse_header(content)
-    if kind == "ascii":
-        lines = io.BytesIO(content[at:])
-        for name, count, fields in elements:
-            if name != "vertex":
-                for _ in range(count):
-                    lines.readline()
-                continue
-            for first in range(0, count, PIECE):
-                n = min(PIECE, count - first)
-                rows = np.array([lines.readline().split()[: len(fields)] for _ in range(n)], dtype=np.float64).reshape(n, len(fields))
-                yield {f: rows[:, i].astype(PLY_TYPES[t][0]) for i, (f, t) in enumerate(fields)}
-            return
-    order = "<" if "little" in kind else ">"
-    for name, count, fields in elements:
-        if any(not isinstance(t, str) for _, t in fields):
-            raise ValueError(f"element {name} with lists stands before the vertices")
-        dtype = np.dtype([(f, order + PLY_TYPES[t][0]) for f, t in fields])
-        if name == "vertex":
-            for first in range(0, count, PIECE):
-                rows = np.frombuffer(content, dtype=dtype, count=min(PIECE, count - first), offset=at + first * dtype.itemsize)
-                yield {f: rows[f].astype(dtype[f].newbyteorder("=")) for f, _ in fields}
-            return
-        at += count * dtype.itemsize
-
-
-def read_ply(spark: SparkSession, path: str, columns: list[str] | None = None, recursive: bool = False) -> DataFrame:
-    """path, vertex_index and the vertices' properties (or those named in columns) of PLY files; the first file's
-    header tells the schema. An empty cloud is an empty table."""
-    reader = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][lL][yY]" if not path.lower().endswith(".ply") else "*").option("recursiveFileLookup", str(recursive).lower())
-    files = reader.load(path).select("path", "content")
-    first = files.orderBy("path").select(F.expr("substring(content, 1, 65536)").alias("head")).first()
-    if first is None:
-        raise FileNotFoundError(f"no PLY file in {path}")
-    schema = vertex_schema(parse_header(bytes(first.head))[1])
-    names = [x.split("`")[1] for x in schema.split(", ")]
+from strataspark.sources.formats import PLY_TYPES, SPLIT_BYTES, file_system, register
+
+
+def _load(spark: SparkSession, kind: str, path: str, columns: list[str] | None, recursive: bool, split_bytes: int, **more: int) -> DataFrame:
+    register(spark)
+    options = {"splitBytes": split_bytes, "recursive": str(recursive).lower()} | {k: v for k, v in more.items() if v is not None}
+    if columns is not None:
+        options["columns"] = ",".join(columns)
+    return spark.read.format(kind).options(**options).load(path)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                at = 0
-                for piece in parse_vertices(content.as_py()):
-                    n = len(piece["x"])
-                    kinds = {"i1": np.int16, "u1": np.int16, "u2": np.int32, "u4": np.int64}
-                    cols = [piece[c].astype(kinds.get(piece[c].dtype.str[1:], piece[c].dtype)) for c in names]
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(np.arange(at, at + n)), *map(pa.array, cols)], names=["path", "vertex_index", *names])
-                    at += n
 
-    out = files.mapInArrow(run, f"path string, vertex_index long, {schema}")
-    return out if columns is None else out.select("path", "vertex_index", *columns)
+def read_ply(spark: SparkSession, path: str, columns: list[str] | None = None, recursive: bool = False, element: str = "vertex", split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """path, vertex_index and the vertices' properties (or the columns that are named) of a PLY file, or of those in a
+    folder; the first file's header tells the schema. element: another element of the files, with its own index. An empty
+    cloud is an empty table; operators.lookup.not_empty makes an error of it."""
+    return _load(spark, "ply", path, columns, recursive, split_bytes, element=element)
 
 
-def read_vertex(points: DataFrame, index: int) -> DataFrame:
-    return points.where(F.col("vertex_index") == index)
+def read_vertex(spark: SparkSession, path: str, index: int, columns: list[str] | None = None) -> DataFrame:
+    """The vertex of this number of a PLY file: one record is read."""
+    return _load(spark, "ply", path, columns, False, SPLIT_BYTES, firstRecord=index, lastRecord=index)
+
+
+def read_las(spark: SparkSession, path: str, columns: list[str] | None = None, recursive: bool = False, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """path, vertex_index, x, y, z, red, green, blue, intensity, classification of LAS files (LAZ is not read)."""
+    return _load(spark, "las", path, columns, recursive, split_bytes)
 
 
 def read_xyz(spark: SparkSession, path: str) -> DataFrame:
@@ -151,7 +86,7 @@ def write_ply_binary(points: DataFrame, folder: str, by: str, properties: list[t
         for p, _ in properties:
             rows[p] = table.column(p).to_numpy()
         head = "\n".join(["ply", "format binary_little_endian 1.0", f"element vertex {len(rows)}", *[f"property {t} {p}" for p, t in properties], "end_header", ""])
-        fs, top = pafs.FileSystem.from_uri(folder)
+        fs, top, _ = file_system(folder)
         fs.create_dir(top, recursive=True)
         name, part = f"{top}/{key[0].as_py()}.ply", f"{top}/.{key[0].as_py()}-{uuid.uuid4().hex}"
         with fs.open_output_stream(part) as out:
@@ -182,32 +117,6 @@ def las_bytes(x: np.ndarray, y: np.ndarray, z: np.ndarray, rgb: np.ndarray | Non
     return head + rows.tobytes()
 
 
-def parse_las(content: bytes) -> dict[str, np.ndarray]:
-    if content[:4] != b"LASF":
-        raise ValueError("not a LAS file")
-    offset, kind, length, n = struct.unpack_from("<I", content, 96)[0], content[104] & 0x3F, struct.unpack_from("<H", content, 105)[0], struct.unpack_from("<I", content, 107)[0]
-    scale, shift = struct.unpack_from("<3d", content, 131), struct.unpack_from("<3d", content, 155)
-    raw = np.frombuffer(content, dtype=np.uint8, count=n * length, offset=offset).reshape(n, length)
-    xyz = raw[:, :12].copy().view("<i4")
-    out = {a: xyz[:, i] * scale[i] + shift[i] for i, a in enumerate("xyz")}
-    at = {2: 20, 3: 28}.get(kind)
-    rgb = raw[:, at : at + 6].copy().view("<u2") if at else np.zeros((n, 3), dtype=np.uint16)
-    return out | {c: rgb[:, i].astype(np.int32) for i, c in enumerate(("red", "green", "blue"))}
-
-
-def read_las(spark: SparkSession, path: str) -> DataFrame:
-    """path, vertex_index, x, y, z, red, green, blue of LAS 1.x files with fixed records (LAZ is not read)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                p = parse_las(content.as_py())
-                n = len(p["x"])
-                yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(np.arange(n)), *[pa.array(p[c]) for c in ("x", "y", "z", "red", "green", "blue")]], names=["path", "vertex_index", "x", "y", "z", "red", "green", "blue"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, vertex_index long, x double, y double, z double, red int, green int, blue int")
-
-
 def read_npz(spark: SparkSession, path: str) -> DataFrame:
     """The full point record of NPZ files: coords, colors, ids, planes."""
     names = ["x", "y", "z", "red", "green", "blue", "point_id", "joint_id", "joint_cluster_id", "cluster_id", "a", "b", "c", "d"]

@@ -89,7 +89,7 @@ def test_ply_round_trip(spark, tmp_path):
     part = next((tmp_path / "ascii").glob("part-*"))
     part.rename(tmp_path / "cloud.ply")
     assert files.read_ply(spark, f"{tmp_path}/cloud.ply").count() == 50
-    assert files.read_vertex(files.read_ply(spark, f"{tmp_path}/cloud.ply"), 7).first().y == 14
+    assert files.read_vertex(spark, f"{tmp_path}/cloud.ply", 7).first().y == 14
 
 
 def test_las_and_text(spark, tmp_path):
