@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataspark.llm.base import ascii_lower
+from strataspark.llm.base import ascii_lower, materialize
 from strataspark.llm.components import components
 
 #: (verdict, host, path). Fixed values.
@@ -79,33 +79,45 @@ def resolve(base: Column, target: Column) -> Column:
 
 
 def links(pages: DataFrame) -> DataFrame:
-    """(url, alias): canonical links and redirects by meta refresh. Relative targets are taken from the page's <base>,
-    or else its url."""
-    html = F.coalesce(F.col("html"), F.lit(""))
-    tags = lambda tag, which, get: F.transform(F.filter(F.regexp_extract_all(html, F.lit(tag), F.lit(0)), lambda t: t.rlike(which)), lambda t: F.regexp_extract(t, get, 1))
+    """(url, alias): canonical links and redirects by meta refresh, outside of comments. Relative targets are taken from
+    the page's <base>, or else its url.
+
+    What is found is written before targets are resolved, and again between the page's base and the targets: each step
+    is long, and would be repeated in the next one's expressions."""
+    html = F.regexp_replace(F.coalesce(F.col("html"), F.lit("")), r"(?s)<!--.*?-->", "")
+    told = pages.where(F.col("html").rlike(_CANONICAL) | F.col("html").rlike(_REFRESH)).select("url", html.alias("html"))
+    tags = lambda tag, which, get: F.transform(F.filter(F.regexp_extract_all("html", F.lit(tag), F.lit(0)), lambda t: t.rlike(which)), lambda t: F.replace(F.regexp_extract(t, get, 1), F.lit("&amp;"), F.lit("&")))
     found = F.concat(tags(_LINK, _CANONICAL, _HREF), tags(_META, _REFRESH, _TARGET))
-    base = F.regexp_extract(F.regexp_extract(html, _BASE, 0), _HREF, 1)
-    some = pages.where(html.rlike(_CANONICAL) | html.rlike(_REFRESH)).select("url", base.alias("base"), F.explode(found).alias("target"))
-    onto = some.select("url", "target", F.coalesce(resolve(F.col("url"), F.col("base")), "url").alias("base"))
-    return onto.select("url", resolve(F.col("base"), F.col("target")).alias("alias")).where("alias IS NOT NULL")
+    base = F.replace(F.regexp_extract(F.regexp_extract("html", _BASE, 0), _HREF, 1), F.lit("&amp;"), F.lit("&"))
+    some = materialize(told.select("url", base.alias("base"), F.explode(found).alias("target")))
+    if some.isEmpty():
+        return some.select("url", F.col("target").alias("alias"))
+    onto = materialize(some.select("url", "target", F.when(F.col("base") != "", resolve(F.col("url"), F.col("base"))).alias("base")))
+    return materialize(onto.select("url", resolve(F.coalesce("base", "url"), F.col("target")).alias("alias"))).where("alias IS NOT NULL")
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, edges: DataFrame | None = None) -> DataFrame:
     """page_id, url -> page_id, host, path, rule, verdict. edges: (url, alias), by default what links() finds.
 
-    A node of the graph is a url's host and path, so that queries and fragments do not part aliases.
+    A node of the graph is a url's host and path, so that queries and fragments do not part aliases. A host has no
+    slash and a path that is not empty begins with one, so both together are one text. Urls without either are no nodes.
     """
-    node = lambda c: F.concat(host_of(F.col(c)), F.lit(" "), path_of(F.col(c)))
     judged = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    judged = judged.withColumn("found", rule_of(F.col("host"), F.col("path"), rules)).withColumn("node", F.concat("host", F.lit(" "), "path"))
-    edges = (links(pages) if edges is None else edges).select(node("url").alias("a"), node("alias").alias("b")).where("a != ' ' AND b != ' '")
-    alias = components(edges, "a", "b")
-    # a component's decision is that of its urls' rules, whether they are pages or only link targets
-    host, path = F.split(F.col("node"), " ", 2)[0], F.split(F.col("node"), " ", 2)[1]
-    ruled = alias.withColumn("by_rule", rule_of(host, path, rules)["verdict"])
-    verdicts = ruled.groupBy("root").agg(F.when(F.max(F.col("by_rule") == "allow"), "allow").when(F.max(F.col("by_rule") == "block"), "block").alias("by_alias"))
-    decided = alias.join(verdicts, "root").where(F.col("by_alias").isNotNull()).select("node", "by_alias")
-    return judged.join(decided, "node", "left").select("page_id", "host", "path", F.col("found")["rule"].alias("rule"), F.coalesce(F.col("found")["verdict"], "by_alias", F.lit("allow")).alias("verdict"))
+    judged = judged.withColumn("found", rule_of(F.col("host"), F.col("path"), rules))
+    node = lambda c: F.concat(host_of(F.col(c)), path_of(F.col(c)))
+    edges = links(pages) if edges is None else edges
+    by_alias = F.lit(None).cast("string")
+    if not edges.isEmpty():
+        alias = components(edges.select(node("url").alias("a"), node("alias").alias("b")).where("a != '' AND b != ''"), "a", "b")
+        # a component's decision is that of its urls' rules, whether they are pages or only link targets
+        ruled = alias.withColumn("by_rule", rule_of(F.regexp_extract("node", "^[^/]*", 0), F.regexp_extract("node", "(?s)^[^/]*(.*)$", 1), rules)["verdict"])
+        verdicts = ruled.groupBy("root").agg(F.when(F.max(F.col("by_rule") == "allow"), "allow").when(F.max(F.col("by_rule") == "block"), "block").alias("by_alias"))
+        decided = alias.join(verdicts, "root").where(F.col("by_alias").isNotNull()).select("node", "by_alias")
+        # pages without a url have keys of their own, that no node has, so that they do not meet in one task
+        own = F.concat("host", "path")
+        judged = judged.withColumn("node", F.when(own != "", own).otherwise(F.concat(F.lit("?"), F.coalesce(F.col("page_id").cast("string"), F.lit(""))))).join(decided, "node", "left")
+        by_alias = F.col("by_alias")
+    return judged.select("page_id", "host", "path", F.col("found")["rule"].alias("rule"), F.coalesce(F.col("found")["verdict"], by_alias, F.lit("allow")).alias("verdict"))
 
 
 #: The verdicts for DuckDB where no page links to another, as in the driver's tables.

@@ -20,3 +20,24 @@ def test_relative_aliases_are_judged(spark):
             (5, "http://w.info/1", '<base href="http://u.org/es/"><link rel=canonical href="5">'), (6, "http://w.info/2", "")]
     got = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "block", 6: "allow"}
+
+
+def test_comments_entities_and_odd_hosts(spark):
+    rows = [(1, "http://p.info/1", "<!-- <link rel=canonical href='http://x.org/es/1'> --><p>"), (2, "http://q.info/2", "<link rel=canonical href='http://q.info/r?a=1&amp;b=2'>"), (3, "http://a b.com/en/1", ""), (4, "http://s.info/4", "<link rel=canonical href='http://t.info/5'>"),
+            (5, "http://t.info/5", "<link rel=canonical href='http://a%20b.com/en/1'>"), (6, "http://u.info/6", "<LINK REL='canonical' HREF=\"http://x.org/es/6\"><!--\n\n<meta http-equiv=refresh content='0;url=http://example.com/en/7'>-->"), (7, None, "<link rel=canonical href='http://x.org/es/1'>"), (8, "http://alone.com", ""), (9, "http://alone.com/en/", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert sorted(r.alias for r in url_filter.links(pages).where("url IS NOT NULL").collect()) == sorted(["http://q.info/r?a=1&b=2", "http://t.info/5", "http://a%20b.com/en/1", "http://x.org/es/6"])
+    got = {r.page_id: r.verdict for r in url_filter.judge(pages).collect()}
+    assert got == {1: "allow", 2: "allow", 3: "block", 4: "block", 5: "block", 6: "block", 7: "allow", 8: "allow", 9: "block"}
+    edge = spark.createDataFrame([("http://y.info/1", "http://a b.com/en/1")], "url string, alias string")
+    assert {r.verdict for r in url_filter.judge(spark.createDataFrame([(1, "http://y.info/1", "")], pages.schema), edges=edge).collect()} == {"block"}
+
+
+def test_plan_stays_short(spark):
+    """Written steps keep a target's parts from being taken apart again for each use."""
+    rows = [(k, f"http://h{k % 7}.info/{k}", f"<link rel=canonical href='/{k % 5}'>") for k in range(50)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert url_filter.links(pages)._jdf.queryExecution().optimizedPlan().toString().count("regexp") < 100
+    assert url_filter.judge(pages)._jdf.queryExecution().optimizedPlan().toString().count("regexp") < 100
+    alone = spark.createDataFrame([(1, "http://a.info/1", "<p>")], pages.schema)
+    assert "Join" not in url_filter.judge(alone)._jdf.queryExecution().optimizedPlan().toString()
