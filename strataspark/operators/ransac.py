@@ -8,7 +8,6 @@ fixed length (iterations), and the counts are sums of arrays' entries by positio
 from __future__ import annotations
 
 import itertools
-import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,10 +48,19 @@ def hypotheses(points: DataFrame, by: list[str], iterations: int, seed: int = 0)
     return ok.select(*by, "iter", *[c.alias(k) for c, k in zip(n.parts(), "abc", strict=True)], (-n.dot(p)).alias("d"))
 
 
-def best_planes(points: DataFrame, by: list[str], threshold: float | Column, iterations: int, seed: int = 0, strict: bool = False) -> DataFrame:
+def sampled(points: DataFrame, by: list[str], most: int, seed: int, key: str = "pid") -> DataFrame:
+    """At most `most` points of each group, those of the least hash of seed and key, with rank and size as ranked()
+    gives them. Spark keeps `most` of a group in each task before it shuffles, so a group may be of any size."""
+    window = Window.partitionBy(*by).orderBy(F.xxhash64(F.lit(seed), key), key)
+    few = points.select(*by, key, *XYZ).withColumn("_place", F.row_number().over(window)).where(F.col("_place") <= most)
+    return few.withColumn("rank", F.col("_place") - 1).withColumn("size", F.count("*").over(Window.partitionBy(*by))).drop("_place")
+
+
+def best_planes(points: DataFrame, by: list[str], threshold: float | Column, iterations: int, seed: int = 0, strict: bool = False, sample: int | None = None) -> DataFrame:
     """by, iter, a, b, c, d, inliers: the hypothesis with most points within the threshold (<=, or < if strict), the
-    first in a tie."""
-    numbered = ranked(points, by)
+    first in a tie. sample: draw the hypotheses from that many points of each group, chosen by hash; all points count
+    as inliers either way."""
+    numbered = ranked(points, by) if sample is None else cut_lineage(sampled(points, by, sample, seed))
     h = hypotheses(numbered, by, iterations, seed)
     packed = h.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("iter", "a", "b", "c", "d"))).alias("planes"))  # at most `iterations` entries
     joined = points.join(packed, by)
@@ -103,30 +111,34 @@ def peel(points: DataFrame, by: list[str], k: int, threshold: float, iterations:
     return out
 
 
-def extract_all(points: DataFrame, threshold: float, iterations: int, share: float = 0.02, stop: int = 1000, seed: int = 0) -> DataFrame:
-    """Planes of one cloud, however many, until at most `stop` points are left or a plane holds under `share` of those
-    left: place, a, b, c, d (d <= 0), inliers, left. Each plane takes points away, so the rounds end."""
-    left = cut_lineage(points.withColumn("_g", F.lit(0)))
-    out = None
-    before = math.inf
+def extract_all(points: DataFrame, threshold: float, iterations: int, share: float = 0.02, stop: int = 1000, seed: int = 0, by: list[str] | None = None, sample: int | None = 10_000) -> DataFrame:
+    """Planes of a cloud, or of each group of it, however many, until at most `stop` points are left or a plane holds
+    under `share` of those left: by, place, a, b, c, d (d <= 0), inliers, left. Each plane takes points away, so the
+    rounds end; all groups go through a round together. sample: as of best_planes()."""
+    keys = by or ["_g"]
+    left = cut_lineage(points.select(*keys, "pid", *XYZ) if by else points.select(F.lit(0).alias("_g"), "pid", *XYZ))
+    found = []
     for place in itertools.count():
-        n = left.count()
-        if n <= stop:
-            break
-        if n >= before:
-            raise RuntimeError("extract_all: a plane took no point")
-        before = n
-        best = cut_lineage(best_planes(left, ["_g"], threshold, iterations, seed + place, strict=True))
-        row = best.first()
-        if row is None or row.inliers < share * n:
+        sizes = left.groupBy(*keys).agg(F.count("*").alias("left")).where(F.col("left") > stop)
+        left = cut_lineage(left.join(sizes, keys))
+        if left.isEmpty():
             break
+        best = best_planes(left, keys, threshold, iterations, seed + place, strict=True, sample=sample)
         turn = F.when(F.col("d") > 0, -1.0).otherwise(1.0)
-        plane = best.select(F.lit(place).alias("place"), *[(F.col(c) * turn).alias(c) for c in "abcd"], "inliers", F.lit(n).alias("left"))
-        out = plane if out is None else out.unionByName(plane)
-        if place % 20 == 19:
-            out = cut_lineage(out)  # the plan stays short
-        left = cut_lineage(left.where(F.abs(row.a * F.col("x") + row.b * F.col("y") + row.c * F.col("z") + row.d) >= threshold))
-    return out
+        planes = best.join(left.groupBy(*keys).agg(F.first("left").alias("left")), keys).where((F.col("inliers") > 0) & (F.col("inliers") >= share * F.col("left")))
+        planes = cut_lineage(planes.select(*keys, F.lit(place).alias("place"), *[(F.col(c) * turn).alias(c) for c in "abcd"], "inliers", "left"))
+        if planes.isEmpty():
+            break
+        found.append(planes)
+        left = cut_lineage(left.drop("left").join(planes.select(*keys, *"abcd"), keys).where(plane_distance() >= threshold).select(*keys, "pid", *XYZ))
+    if not found:
+        kinds = dict(left.dtypes)
+        empty = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "place int", *[f"{c} double" for c in "abcd"], "inliers long", "left long"])
+        return points.sparkSession.createDataFrame([], empty).drop("_g")
+    out = found[0]
+    for one in found[1:]:
+        out = out.unionByName(one)
+    return out.drop("_g")
 
 
 def sphere_classes(points: DataFrame, radius: float, threshold: float = 0.01, iterations: int = 500, least: int = 200, seed: int = 42) -> DataFrame:

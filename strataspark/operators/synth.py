@@ -11,15 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataspark.functions.vec import V3, basis_by_x, vec
-
-
-def grid(spark: SparkSession, half_u: float, half_v: float, step: float) -> DataFrame:
-    """iu, iv, u, v over [-half, half] at the step, both ends included."""
-    nu, nv = int(round(2 * half_u / step)) + 1, int(round(2 * half_v / step)) + 1
-    ids = spark.range(nu * nv)
-    iu, iv = (F.col("id") / nv).cast("long"), F.col("id") % nv
-    return ids.select(F.col("id").alias("pid"), iu.alias("iu"), iv.alias("iv"), (F.lit(-half_u) + iu * step).alias("u"), (F.lit(-half_v) + iv * step).alias("v"))
+from strataspark.functions.vec import V3, axis, basis_by_x, rotate, vec
 
 
 def uniform(seed: int, *ids: Column) -> Column:
@@ -33,42 +25,47 @@ def gaussian(seed: int, *ids: Column) -> Column:
     return F.sqrt(-2 * F.log(F.greatest(one, F.lit(1e-12)))) * F.cos(2 * math.pi * two)
 
 
-def bend(u: Column, v: Column, half_u: float, half_v: float, amplitude: float) -> Column:
+def bend(u: Column, v: Column, half_u: Column | float, half_v: Column | float, amplitude: Column | float) -> Column:
     a, b = u / half_u, v / half_v
     return amplitude * (a * a + b * b)
 
 
-def wave(u: Column, v: Column, half_u: float, amplitude: float, waves: float = 2.0) -> Column:
+def wave(u: Column, v: Column, half_u: Column | float, amplitude: Column | float, waves: float = 2.0) -> Column:
     return amplitude * F.sin(math.pi * waves * (u + half_u) / half_u)
 
 
-def control_grid(points: DataFrame, k: int, half_u: float, half_v: float, amplitude: float, seed: int) -> DataFrame:
-    """points with h: bilinear heights between random ones at a grid of k by k cells (0 where k < 1). The control
-    heights are a function of their place, so no table is joined."""
-    if k < 1:
-        return points.withColumn("h", F.lit(0.0))
-    a, b = (F.col("u") + half_u) / (2 * half_u) * k, (F.col("v") + half_v) / (2 * half_v) * k
-    i, j = F.least(F.floor(a), F.lit(k - 1)).cast("long"), F.least(F.floor(b), F.lit(k - 1)).cast("long")
-    out = points.withColumn("_i", i).withColumn("_j", j).withColumn("_s", a - i).withColumn("_t", b - j)
-    at = lambda di, dj: (2 * uniform(seed, F.col("_i") + di, F.col("_j") + dj) - 1) * amplitude
+def patches(specs: DataFrame, seed: int = 42, clamp: float | None = None) -> DataFrame:
+    """patch, pid, x, y, z: plane patches with their disturbances along the normal, one for each row of (patch, cx, cy,
+    cz, nx, ny, nz, half_u, half_v, step, sigma, bend_m, wave_m, grid_k, grid_m). A patch's points are those of its grid,
+    both ends included; clamp: into a cube from the origin."""
+    length = vec("nx", "ny", "nz").norm()
+    size = lambda half: (F.round(2 * F.col(half) / F.col("step")) + 1).cast("long")
+    rows = specs.select("*", *[(F.col(f"n{k}") / length).alias(f"_n{k}") for k in "xyz"], size("half_u").alias("_nu"), size("half_v").alias("_nv"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nu") * F.col("_nv") - 1)).alias("pid"))
+    iu, iv = F.floor(F.col("pid") / F.col("_nv")), F.pmod(F.col("pid"), F.col("_nv"))
+    rows = rows.withColumn("u", -F.col("half_u") + iu * F.col("step")).withColumn("v", -F.col("half_v") + iv * F.col("step"))
+    k = F.greatest(F.col("grid_k"), F.lit(1))
+    p, q = (F.col("u") + F.col("half_u")) / (2 * F.col("half_u")) * k, (F.col("v") + F.col("half_v")) / (2 * F.col("half_v")) * k
+    rows = rows.withColumn("_i", F.least(F.floor(p), k - 1).cast("long")).withColumn("_j", F.least(F.floor(q), k - 1).cast("long"))
+    rows = rows.withColumn("_s", p - F.col("_i")).withColumn("_t", q - F.col("_j"))
+    at = lambda di, dj: (2 * uniform(seed, F.col("patch"), F.col("_i") + di, F.col("_j") + dj) - 1) * F.col("grid_m")  # noqa: E731  control heights are a function of their place
     s, t = F.col("_s"), F.col("_t")
-    h = at(0, 0) * (1 - s) * (1 - t) + at(1, 0) * s * (1 - t) + at(0, 1) * (1 - s) * t + at(1, 1) * s * t
-    return out.withColumn("h", h).drop("_i", "_j", "_s", "_t")
+    h = F.when(F.col("grid_k") >= 1, at(0, 0) * (1 - s) * (1 - t) + at(1, 0) * s * (1 - t) + at(0, 1) * (1 - s) * t + at(1, 1) * s * t).otherwise(0.0)
+    off = h + bend(F.col("u"), F.col("v"), F.col("half_u"), F.col("half_v"), F.col("bend_m")) + wave(F.col("u"), F.col("v"), F.col("half_u"), F.col("wave_m")) + F.col("sigma") * gaussian(seed + 1, F.col("patch"), F.col("pid"))
+    rows = rows.withColumn("_off", off)
+    n = vec("_nx", "_ny", "_nz")
+    e, f = basis_by_x(n)
+    x = vec("cx", "cy", "cz") + e * F.col("u") + f * F.col("v") + n * F.col("_off")
+    if clamp is not None:
+        x = V3(*[F.greatest(F.lit(0.0), F.least(F.lit(clamp), c)) for c in x.parts()])
+    return rows.select("patch", "pid", *[c.alias(a) for c, a in zip(x.parts(), "xyz", strict=True)])
 
 
 def patch(spark: SparkSession, center: tuple, normal: tuple, half_u: float, half_v: float, step: float, sigma: float = 0.0, bend_m: float = 0.0, wave_m: float = 0.0, grid_k: int = 0, grid_m: float = 0.0, seed: int = 42, clamp: float | None = None) -> DataFrame:
-    """pid, x, y, z of a plane patch with its disturbances along the normal; clamp: into a cube from the origin."""
-    length = math.sqrt(sum(c * c for c in normal))
-    n = vec(*[c / length for c in normal])
-    u, v = basis_by_x(n)
-    g = control_grid(grid(spark, half_u, half_v, step), grid_k, half_u, half_v, grid_m, seed)
-    off = F.col("h") + bend(F.col("u"), F.col("v"), half_u, half_v, bend_m) + wave(F.col("u"), F.col("v"), half_u, wave_m)
-    if sigma:
-        off = off + sigma * gaussian(seed + 1, F.col("pid"))
-    p = vec(*center) + u * F.col("u") + v * F.col("v") + n * off
-    if clamp is not None:
-        p = V3(*[F.greatest(F.lit(0.0), F.least(F.lit(clamp), c)) for c in p.parts()])
-    return g.select("pid", *[c.alias(a) for c, a in zip(p.parts(), "xyz", strict=True)])
+    """pid, x, y, z of one patch, with the parameters of patches()."""
+    named = {"cx": center[0], "cy": center[1], "cz": center[2], "nx": normal[0], "ny": normal[1], "nz": normal[2], "half_u": half_u, "half_v": half_v, "step": step, "sigma": sigma, "bend_m": bend_m, "wave_m": wave_m, "grid_m": grid_m}
+    spec = spark.range(1).select(F.lit(0).cast("long").alias("patch"), *[F.lit(float(v)).alias(k) for k, v in named.items()], F.lit(grid_k).alias("grid_k"))
+    return patches(spec, seed, clamp).drop("patch")
 
 
 def plane_of_patch(center: tuple, normal: tuple) -> tuple[float, float, float, float]:
@@ -115,29 +112,37 @@ def pyramid(spark: SparkSession, degrees: float, base: float, step: float, sigma
     return ids.select("face", F.col("id").alias("pid"), *[c.alias(a) for c, a in zip(p.parts(), "xyz", strict=True)])
 
 
-def noisy_corner(spark: SparkSession, shares: tuple[float, ...], n: int = 20_000, size: float = 10.0, sigma: float = 0.02, outliers: float = 0.02, seed: int = 123) -> DataFrame:
-    """pid, plane (null for outliers), x, y, z: up to three faces of a cube's corner with the given shares of points,
-    noise along the face's normal, and uniform outliers, all clamped to the cube."""
-    i = F.col("id")
-    rnd = lambda k: uniform(seed + k, i)
-    limits, total = [], 0.0
-    for s in shares:
-        total += s
-        limits.append(total)
-    plane = F.when(i < outliers * n, None)
-    for k, edge in enumerate(limits[:-1]):
-        plane = plane.when(rnd(1) < edge / total, k)
-    rows = spark.range(n).withColumn("plane", plane.otherwise(len(shares) - 1)).withColumn("s", size * rnd(2)).withColumn("t", size * rnd(3)).withColumn("e", F.abs(sigma * gaussian(seed + 4, i))).withColumn("w", size * rnd(5))
+#: Shares of points of up to three faces of a cube's corner, a case each. Fixed values.
+CORNER_CASES = ((100,), (10, 90), (20, 80), (30, 70), (40, 60), (50, 50), (30, 35, 35), (40, 30, 30), (50, 25, 25), (60, 20, 20), (70, 15, 15), (80, 10, 10), (90, 5, 5))
+
+
+def corners_of(rows: DataFrame, size: float = 10.0, sigma: float = 0.02, outliers: float = 0.02, degrees: float = 5.0, seed: int = 123) -> DataFrame:
+    """case, pid, plane (null for outliers), x, y, z: a point for each row of (case, pid), of the corner whose shares
+    CORNER_CASES gives for the case: noise along the face's normal, uniform outliers, each face turned by up to `degrees`
+    around the cube's middle (by angles of the case and face), all clamped to the cube."""
+    case, i = F.col("case"), F.col("pid")
+    rnd = lambda k: uniform(seed + k, case, i)
+    limits = F.array(*[F.array(*[F.lit(sum(c[: k + 1]) / sum(c)) for k in range(len(c))]) for c in CORNER_CASES])
+    own = F.get(limits, case.cast("int"))
+    drawn = rows.select("case", "pid", own.alias("_limits"), rnd(1).alias("_r"), (rnd(6) < outliers).alias("_out"))
+    # the first face whose limit is over the draw
+    drawn = drawn.withColumn("plane", F.when(~F.col("_out"), F.least(F.size(F.filter("_limits", lambda x: x <= F.col("_r"))), F.size("_limits") - 1)))
+    drawn = drawn.select("case", "pid", "plane", (size * rnd(2)).alias("s"), (size * rnd(3)).alias("t"), (sigma * gaussian(seed + 4, case, i)).alias("e"), (size * rnd(5)).alias("w"))
     k = F.col("plane")
     x = F.when(k == 1, F.col("e")).otherwise(F.col("s"))
     y = F.when(k == 2, F.col("e")).when(k == 1, F.col("s")).otherwise(F.col("t"))
     z = F.when(k == 0, F.col("e")).when(k.isNull(), F.col("w")).otherwise(F.col("t"))
+    tilt = lambda n: F.radians((2 * uniform(seed + n, case, F.coalesce(k, F.lit(-1))) - 1) * degrees)
+    placed = drawn.select("case", "pid", "plane", x.alias("x"), y.alias("y"), z.alias("z"), F.when(k.isNull(), 0.0).otherwise(tilt(7)).alias("_a"), F.when(k.isNull(), 0.0).otherwise(tilt(8)).alias("_b"))
+    mid = vec(size / 2, size / 2, size / 2)
+    turned = rotate(rotate(vec("x", "y", "z") - mid, axis(0), F.degrees("_a")), axis(1), F.degrees("_b")) + mid
     clamp = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(size), c))
-    return rows.select(i.alias("pid"), "plane", clamp(x).alias("x"), clamp(y).alias("y"), clamp(z).alias("z"))
+    return placed.select("case", "pid", "plane", *[clamp(c).alias(a) for c, a in zip(turned.parts(), "xyz", strict=True)])
 
 
-def icosahedron(spark: SparkSession, n: int = 50_000, sigma: float = 0.02, seed: int = 1) -> DataFrame:
-    """pid, face, x, y, z: uniform points of the 20 faces of a unit icosahedron, with noise along the normals."""
+def icosahedron_of(rows: DataFrame, sigma: float = 0.02, seed: int = 1) -> DataFrame:
+    """pid, face, x, y, z: a point of the 20 faces of a unit icosahedron for each row of (pid), uniform over them, with
+    noise along the normals."""
     import numpy as np
 
     from strataspark.functions.hull import hull3
@@ -146,14 +151,14 @@ def icosahedron(spark: SparkSession, n: int = 50_000, sigma: float = 0.02, seed:
     v = np.array([p for a in (-1, 1) for b in (-g, g) for p in ((0, a, b), (a, b, 0), (b, 0, a))]) / math.sqrt(1 + g * g)
     faces = v[hull3(v)].reshape(20, 9).tolist()
     table = F.array(*[F.array(*map(F.lit, f)) for f in faces])
-    i = F.col("id")
-    rows = spark.range(n).select("id", F.least(F.floor(uniform(seed, i) * 20), F.lit(19)).cast("int").alias("face"), F.sqrt(uniform(seed + 1, i)).alias("s"), uniform(seed + 2, i).alias("t")).withColumn("f", F.get(table, F.col("face")))
+    i = F.col("pid")
+    drawn = rows.select("pid", F.least(F.floor(uniform(seed, i) * 20), F.lit(19)).cast("int").alias("face"), F.sqrt(uniform(seed + 1, i)).alias("s"), uniform(seed + 2, i).alias("t")).withColumn("f", F.get(table, F.col("face")))
     at = lambda k: vec(*[F.col("f")[3 * k + c] for c in range(3)])
     s, t = F.col("s"), F.col("t")
     p = at(0) * (1 - s) + at(1) * (s * (1 - t)) + at(2) * (s * t)
     m = at(0) + at(1) + at(2)
     p = p + m / m.norm() * (sigma * gaussian(seed + 3, i))
-    return rows.select(i.alias("pid"), "face", *[c.alias(a) for c, a in zip(p.parts(), "xyz", strict=True)])
+    return drawn.select("pid", "face", *[c.alias(a) for c, a in zip(p.parts(), "xyz", strict=True)])
 
 
 def sweep(spark: SparkSession, **parameters: list) -> DataFrame:

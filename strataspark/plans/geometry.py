@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataspark.functions.vec import basis_by_x, unit, vec
-from strataspark.operators import blocks, facets, graph, pairs, planes, ransac, synth
+from strataspark.operators import blocks, facets, graph, pairs, planes, ransac
 from strataspark.operators.graph import cut_lineage
 from strataspark.operators.spatial import radius_join
 from strataspark.plans.clouds import cloud, sql
@@ -143,21 +143,6 @@ def r3_peel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("grp").agg(F.count("*").alias("planes"), F.sum("inliers").alias("inliers"), r(planes.bic(F.sum("rss"), F.sum("inliers"), F.count("*")), "bic", 3))
 
 
-@query()
-def r4_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Planes of a noisy cube corner, one after another."""
-    found = ransac.extract_all(synth.noisy_corner(spark, (0.4, 0.6), 4000), 0.03, 150, stop=200)
-    return found.select("place", "inliers", "left")
-
-
-@query()
-def r7_spheres(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spheres over a folded cloud, by their number of planes."""
-    b = synth.book(spark, 90, 2.0, 1.0, 1.0, 0.05)
-    p = b.select(F.concat("part", F.col("pid").cast("string")).alias("pid"), "x", "y", "z")
-    return ransac.sphere_classes(p, 0.6, 0.01, 60, 60).select("sphere_id", "n", "planes", "class")
-
-
 # Graphs
 
 _T = ", t AS (SELECT a, b FROM f UNION SELECT t.a, f.b FROM t JOIN f ON t.b = f.a)"
@@ -230,17 +215,6 @@ def axis_tree(normals: DataFrame) -> DataFrame:
         most = min(1.0, 4 * most)
 
 
-@query("SELECT 28::BIGINT AS cycles, 6::BIGINT AS coplanar")
-def g9_cube_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Simple cycles of up to eight nodes of the cube's graph, and those that lie in a plane."""
-    from strataspark.functions.vec import coplanar
-
-    edges = spark.range(8).select(F.col("id").alias("a"), F.explode(F.array(*[F.col("id").bitwiseXOR(F.lit(1 << k)) for k in range(3)])).alias("b"))
-    rings = cut_lineage(graph.cycles(edges, 8))
-    at = F.transform("nodes", lambda v: F.struct(F.pmod(v, F.lit(2)).cast("double").alias("x"), F.pmod(F.floor(v / 2), F.lit(2)).cast("double").alias("y"), F.floor(v / 4).cast("double").alias("z")))
-    return rings.select(at.alias("p")).agg(F.count("*").alias("cycles"), F.sum(coplanar(F.col("p")).cast("long")).alias("coplanar"))
-
-
 @query()
 def g3_cliques(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exclusive cliques of planes with normals near each other, a component at a time."""
@@ -252,33 +226,6 @@ def g3_cliques(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Blocks
 
 
-def _boxes(spark: SparkSession) -> DataFrame:
-    """Half-spaces of a cube, of the cube less one corner, and less two."""
-    import math
-
-    cube = [(a, b, c, -1.0) for a, b, c in ((1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1))]
-    s, t = (*(1 / math.sqrt(3),) * 3, -0.9), (-1 / math.sqrt(6), 2 / math.sqrt(6), -1 / math.sqrt(6), -0.9)
-    rows = [(n, k, *map(float, p)) for n, body in enumerate((cube, [*cube, s], [*cube, s, t])) for k, p in enumerate(body)]
-    packed = F.array(*[F.struct(*[F.lit(v).alias(c) for v, c in zip(row, ("body", "pid", "a", "b", "c", "d"), strict=True)]) for row in rows])
-    return spark.range(1).select(F.explode(packed).alias("r")).select("r.*")
-
-
-# each cut takes one corner away and adds three
-@query("SELECT 0 AS body, 8::BIGINT AS corners UNION ALL SELECT 1, 10 UNION ALL SELECT 2, 12")
-def b7_half_space_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Corners of a cube, and of the cube with one and with two cuts."""
-    return blocks.halfspace_corners(_boxes(spark), "body").groupBy("body").agg(F.count("*").alias("corners"))
-
-
-@query("SELECT 0 AS body, 8.0::DOUBLE AS volume, 24.0::DOUBLE AS area, 8.0::DOUBLE AS tetrahedra")
-def b7_half_space_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Volume and area of the cube, by its hull and by tetrahedra."""
-    corners = blocks.halfspace_corners(_boxes(spark).where("body = 0"), "body")
-    bodies = cut_lineage(blocks.hull_bodies(corners, "body"))
-    tets = blocks.body_measures(blocks.tetrahedra(bodies, "body"), "body").select("body", r(F.col("volume"), "tetrahedra"))
-    return bodies.join(tets, "body").select("body", r(F.col("volume"), "volume"), r(F.col("area"), "area"), "tetrahedra")
-
-
 @query(
     sql("disks") + ", f AS (SELECT pid % 97 AS body, pid AS face, (pid * 37 % 90)::DOUBLE AS angle FROM disks), k AS (SELECT *, CASE WHEN angle < 30 THEN 'slide' WHEN angle < 60 THEN 'topple' ELSE 'fall' END AS kind FROM f), v AS (SELECT body, kind, count(*) AS n, min(face) AS first FROM k GROUP BY ALL)"
     " SELECT v.body, min(CASE WHEN g.under THEN 0 ELSE 1 END) = 1 AS stable, arg_max(kind, n * 1000000 - first) AS mode FROM v JOIN (SELECT body, bool_or(angle < 45) AS under FROM f GROUP BY body) g ON g.body = v.body GROUP BY v.body"
@@ -289,93 +236,6 @@ def agg_block_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.face_measures(f, "body")
 
 
-@query("SELECT 0::BIGINT AS block, 6::BIGINT AS faces, true AS closed UNION ALL SELECT 100, 5, false")
-def g10_closed_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A closed cube and one without its lid."""
-    quads = [(0, 1, 3, 2), (4, 6, 7, 5), (0, 4, 5, 1), (2, 3, 7, 6), (0, 2, 6, 4), (1, 5, 7, 3)]
-    rows = [(n * 100 + k, [v + 10 * n for v in q]) for n in (0, 1) for k, q in enumerate(quads[: 6 - n])]
-    packed = F.array(*[F.struct(F.lit(f).cast("long").alias("face"), F.array(*map(F.lit, q)).alias("ids")) for f, q in rows])
-    faces = spark.range(1).select(F.explode(packed).alias("r")).select("r.*")
-    return blocks.traversal_blocks(faces).groupBy("block").agg(F.count("*").alias("faces"), F.bool_and("closed").alias("closed"))
-
-
-def _cube_cloud(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    """Points of a cube's faces from 0 to 2, and its facets with planes and centers."""
-    i = F.col("id")
-    face, s, t = (i / 441).cast("int"), (i / 21).cast("long") % 21 / 10, i % 21 / 10
-    high = F.when(face % 2 == 1, 2.0).otherwise(0.0)
-    ax = (face / 2).cast("int")
-    pts = spark.range(6 * 441).select(i.alias("pid"), face.cast("long").alias("facet"), F.when(ax == 0, high).otherwise(s).alias("x"), F.when(ax == 1, high).when(ax == 0, s).otherwise(t).alias("y"), F.when(ax == 2, high).otherwise(t).alias("z"))
-    k = F.col("id")
-    sign = F.when(k % 2 == 1, 1.0).otherwise(-1.0)
-    on = lambda a: F.when((k / 2).cast("int") == a, sign).otherwise(0.0)
-    mid = lambda a: F.when((k / 2).cast("int") == a, F.when(k % 2 == 1, 2.0).otherwise(0.0)).otherwise(1.0)
-    fac = spark.range(6).select(k.alias("facet"), on(0).alias("a"), on(1).alias("b"), on(2).alias("c"), F.when(k % 2 == 1, -2.0).otherwise(0.0).alias("d"), mid(0).alias("cx"), mid(1).alias("cy"), mid(2).alias("cz"))
-    return fac, pts
-
-
-@query("SELECT 0 AS block_id, 8::BIGINT AS corners, 6::BIGINT AS faces, 24.0::DOUBLE AS area")
-def b3_corner_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A block from the corners of adjacent facets."""
-    fac, pts = _cube_cloud(spark)
-    from strataspark.operators.spatial import adjacent_owners
-
-    envelope = pts.agg(*[(F.min(a) - 0.05).alias(f"low_{a}") for a in "xyz"], *[(F.max(a) + 0.05).alias(f"high_{a}") for a in "xyz"])
-    found, faces = blocks.corner_blocks(fac, adjacent_owners(pts, "facet", 0.15), envelope, 0.15)
-    area = faces.groupBy("block_id").agg(F.count("*").alias("faces"), r(F.sum("area"), "area"))
-    return found.groupBy("block_id").agg(F.count("*").alias("corners")).join(area, "block_id")
-
-
-@query()
-def b2_component_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A block from facets in each other's slabs."""
-    fac, pts = _cube_cloud(spark)
-    bodies, typed = blocks.component_blocks(fac, pts, 1.8, 2.5, 0.2)
-    return bodies.select("block_id", "n_vertices", r(F.col("volume"), "volume"))
-
-
-@query()
-def b1_clique_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks from exclusive cliques of mutual facets."""
-    fac, pts = _cube_cloud(spark)
-    found, typed = blocks.clique_blocks(fac, pts, 1.8, 2.5, 0.2)
-    return found.select("block_id", F.size("clique").alias("facets"), r(F.col("volume"), "volume"))
-
-
-# Synthetic clouds
-
-
-@query("WITH g AS (SELECT id, -2 + (id // 41) * 0.1 AS u, -2 + (id % 41) * 0.1 AS v FROM (SELECT unnest(range(0, 1681)) AS id)) SELECT id AS pid, round(1 + u, 5) + 0.0 AS x, round(1 + v, 5) + 0.0 AS y, round(0.3 * ((u / 2) * (u / 2) + (v / 2) * (v / 2)) + 0.2 * sin(pi() * 2 * (u + 2) / 2), 5) + 0.0 AS z FROM g")
-def y1_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A bent and waved patch."""
-    p = synth.patch(spark, (1, 1, 0), (0, 0, 1), 2.0, 2.0, 0.1, bend_m=0.3, wave_m=0.2)
-    # the in-plane axes are (0, 1, 0) and (-1, 0, 0): x falls with v, y grows with u
-    return p.select("pid", r(F.col("y"), "x", 5), r(2 - F.col("x"), "y", 5), r(F.col("z"), "z", 5))
-
-
-@query(
-    "SELECT (((a * 3 + s) * 2 + g) * 2 + w)::BIGINT AS \"index\", 'Plane1_Ang' || (a * 20) || '_Ara100%_Gno' || (s * 10) || 'mm_Ben0_Grid' || (g * 2) || '_Sin' || (w * 60) || '.ply' AS filename FROM (SELECT unnest(range(0, 4)) AS a), (SELECT unnest(range(0, 3)) AS s), (SELECT unnest(range(0, 2)) AS g), (SELECT unnest(range(0, 2)) AS w) WHERE (((a * 3 + s) * 2 + g) * 2 + w) % 5 <> 0"
-)
-def y10_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A parameter sweep with file names, less what is done."""
-    runs = synth.sweep(spark, angle=[0, 20, 40, 60], sigma_mm=[0, 10, 20], grid=[0, 2], wave=[0, 60]).withColumn("area", F.lit(100)).withColumn("bend", F.lit(0))
-    named = synth.manifest_names(runs)
-    return synth.resume(named, named.where("index % 5 = 0")).select("index", "filename")
-
-
-@query()
-def y11_corner_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fitted planes of a noisy three-plane corner."""
-    c = synth.noisy_corner(spark, (0.3, 0.35, 0.35))
-    return planes.fit_planes(c.where("plane IS NOT NULL"), ["plane"]).select("plane", "n", r(F.abs("a"), "a", 2), r(F.abs("b"), "b", 2), r(F.abs("c"), "c", 2))
-
-
-@query()
-def y12_icosahedron(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points of an icosahedron's faces, with a plane each."""
-    return planes.fit_planes(synth.icosahedron(spark), ["face"]).select("face", "n", r(F.sqrt("l1"), "rms", 3))
-
-
 @query()
 def s_facet_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The facet attributes as text."""

@@ -1,31 +1,16 @@
 """Every query of the library with SQL against DuckDB, at the smallest scale."""
 
-import math
 import os
 
-import duckdb
 import pytest
+from tests_common import against_duckdb
 
-from strataspark.plans.registry import ORACLES, QUERIES
+from strataspark.plans.registry import ORACLES
 
 SF = "/root/testdata/sf0.001"
-QUICK = ("agg_plane_fits", "v_three_planes", "v_polygons", "f_filters", "a_heat_map", "a_quantile_bands", "s_qfacet", "j1_knn", "j2_radius", "j4_ball_pairs", "t2_sliding_tiles", "c6_dbscan", "k2_hull_polygons", "r1_best_planes", "g5_triangles", "b7_half_space_corners", "j12_clusters", "f2_curvature_split", "t4_seeds", "f12_pruned_nodes", "c8_large_clusters")
-
-
-def plain(v):
-    if v is None or (isinstance(v, float) and math.isnan(v)):
-        return None
-    return round(float(v), 6) + 0.0 if isinstance(v, (int, float)) and not isinstance(v, bool) else v
+QUICK = ("agg_plane_fits", "v_three_planes", "v_polygons", "f_filters", "a_heat_map", "a_quantile_bands", "s_qfacet", "j1_knn", "j2_radius", "j4_ball_pairs", "t2_sliding_tiles", "c6_dbscan", "k2_hull_polygons", "r1_best_planes", "g5_triangles", "v7_hemisphere", "k7_circles", "k11_set_traces", "c9_set_labels", "agg16_point_scores", "agg17_spread_farthest_twice", "agg17_boundary_of_all", "j12_clusters", "f2_curvature_split", "t4_seeds", "f12_pruned_nodes", "c8_large_clusters")
 
 
 @pytest.mark.parametrize("name", QUICK if not os.environ.get("ALL_QUERIES") else sorted(ORACLES))
 def test_against_duckdb(spark, name):
-    con = duckdb.connect()
-    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings", "documents", "pages", "labels"):
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    want = con.execute(ORACLES[name])
-    columns = [d[0] for d in want.description]
-    got = QUERIES[name](spark, SF)
-    assert sorted(columns) == sorted(got.columns)
-    rows = lambda it: sorted((tuple(map(plain, r)) for r in it), key=repr)
-    assert rows(tuple(r[c] for c in columns) for r in got.collect()) == rows(want.fetchall())
+    against_duckdb(spark, name, SF)
