@@ -60,6 +60,24 @@ def snk19_tile_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.join(sums, "tile_id").select("tile_id", "i", "j", "k", "n_points", r(F.col("origin_x"), "origin_x", 5), "min_x", "max_y", "n_read", r(F.col("sum_x"), "sum_x", 4), r(F.col("sum_z"), "sum_z", 3), told)
 
 
+_CUBES = (
+    ", l AS (SELECT min(x) AS lx, min(y) AS ly, min(z) AS lz, max(x) AS hx, max(y) AS hy, max(z) AS hz FROM disks), w AS (SELECT unnest(range(0, 9)) AS i), c AS (SELECT a.i AS ix, b.i AS iy, c.i AS iz, lx + a.i * 25 AS x0, ly + b.i * 25 AS y0, lz + c.i * 25 AS z0 FROM l, w a, w b, w c WHERE lx + a.i * 25 < hx AND ly + b.i * 25 < hy AND lz + c.i * 25 < hz)"
+    " SELECT ix::BIGINT AS ix, iy::BIGINT AS iy, iz::BIGINT AS iz, round(x0, 3) + 0.0 AS x0, count(*)::BIGINT AS n_points, count(*)::BIGINT AS n_read, round(sum(x), 3) + 0.0 AS sum_x FROM disks JOIN c ON x >= x0 AND x < x0 + 50 AND y >= y0 AND y < y0 + 50 AND z >= z0 AND z < z0 + 50 GROUP BY ix, iy, iz, x0 HAVING count(*) >= 10"
+)
+
+
+@query(sql("disks") + _CUBES)
+def t3_cube_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping cubes with the directions of their normals, as files with a manifest, and what the files hold."""
+    folder = _folder(spark)
+    n = vec("a", "b", "c")
+    d = cloud(spark, sf_dir, "disks").select("pid", "x", "y", "z", *[(c / n.norm()).alias(f"n{k}") for k, c in zip("xyz", n.parts(), strict=True)])
+    manifest = bodies.write_cubes(d, folder, "disks", 50.0, 25.0, 10, most_points=200, inits=2, rounds=3)
+    held = bodies.read_bodies(spark, f"{folder}/cubes").groupBy("file").agg(F.count("*").alias("n_read"), F.sum("x").alias("sum_x"))
+    rows = manifest.withColumn("file", F.regexp_extract("cube_file", r"([^/]*)\.ply$", 1)).join(held, "file")
+    return rows.groupBy("ix", "iy", "iz", r(F.col("x0"), "x0", 3), "n_points").agg(F.sum("n_read").alias("n_read"), r(F.sum("sum_x"), "sum_x", 3))
+
+
 def _flat_disks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cloud(spark, sf_dir, "disks").select("pid", "grp", vec("x", "y", "z").struct().alias("center"), vec(1, 0, 0).struct().alias("u"), vec(0, 1, 0).struct().alias("v"), F.col("ra").alias("a"), F.col("rb").alias("b"))
 

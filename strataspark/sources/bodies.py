@@ -200,37 +200,23 @@ def tile_index(placed: DataFrame, least: int) -> DataFrame:
     return tiles.withColumn("tile_id", F.format_string("x%d_y%d_z%d", "i", "j", "k")).select(*INDEX)
 
 
-def write_tiles(points: DataFrame, folder: str, size: float, overlap: float = 0.0, least: int = 1, most_points: int = 1_000_000, order: str = "pid", fields: list[tuple[str, str]] | None = None) -> DataFrame:
-    """Cut a cloud into cubes and write each with at least `least` points as PLY; below folder there are `tiles/*.ply`
-    and `index`, a CSV with a row for each file (and header). The index's rows are returned as written.
-
-    A tile of more than most_points is dealt to several files by the hash of its points' `order`, a unique id, by which
-    the points of a file are sorted. fields: properties besides x, y, z. The index is written after all files are
-    whole, so it never names one that is not."""
-    fields = fields or []
-    properties = [*[(a, "double") for a in XYZ], *fields]
-    keep = list(dict.fromkeys([order, *XYZ, *[f for f, _ in fields]]))
-    placed = cut_lineage(tile_points(points.select(*keep), size, overlap))
-    index = cut_lineage(tile_index(placed, least).withColumn("n_files", F.ceil(F.col("n_points") / most_points).cast("int")))
-    dealt = placed.join(index.select("i", "j", "k", "tile_id", "n_files"), ["i", "j", "k"])
-    part = F.pmod(F.xxhash64(order), F.col("n_files")).cast("int")
-    name = F.when(F.col("n_files") == 1, F.col("tile_id")).otherwise(F.concat_ws("_part", "tile_id", part.cast("string")))
-    rows = dealt.withColumn("file", name).repartition("file").sortWithinPartitions("file", order).select("tile_id", "file", *[p for p, _ in properties])
-    target = f"{folder}/tiles"
+def write_point_files(rows: DataFrame, folder: str, properties: list[tuple[str, str]], order: str) -> DataFrame:
+    """file, save_path, n_in_file: a binary PLY file of the properties for each value of `file`, its points sorted by
+    order. A file's points are gathered by a task, for its header tells their number: deal large ones to several files
+    first. The files are written when this returns."""
+    ready = rows.repartition("file").sortWithinPartitions("file", order).select("file", *[F.col(p).cast(kind if kind in ("float", "double") else "long").alias(p) for p, kind in properties])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A file's points are gathered, some most_points of them, for its header tells their number."""
         gathered: list[pa.RecordBatch] = []
         done = []
 
         def finish() -> None:
             if gathered:
                 table = pa.Table.from_batches(gathered)
-                name = table.column("file")[0].as_py()
-                out = _Open(target, name, (table.num_rows, 0, 0), properties, (False, False), True)
+                out = _Open(folder, table.column("file")[0].as_py(), (table.num_rows, 0, 0), properties, (False, False), True)
                 out.vertices({p: table.column(p).to_numpy() for p, _ in properties})
                 out.close()
-                done.append((table.column("tile_id")[0].as_py(), out.path, table.num_rows))
+                done.append((out.name, out.path, table.num_rows))
                 gathered.clear()
 
         for batch in batches:
@@ -246,14 +232,68 @@ def write_tiles(points: DataFrame, folder: str, size: float, overlap: float = 0.
                 at = end
         finish()
         columns = list(zip(*done, strict=True)) if done else [[]] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], names=["tile_id", "save_path", "n_in_file"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], names=["file", "save_path", "n_in_file"])
+
+    return cut_lineage(ready.mapInArrow(run, "file string, save_path string, n_in_file long"))
+
+
+def _dealt(rows: DataFrame, name: str, count: str, most_points: int, order: str) -> DataFrame:
+    """rows with `file`: the name, or one of several where the count is over most_points, by the hash of `order`."""
+    many = F.ceil(F.col(count) / most_points)
+    return rows.withColumn("file", F.when(many <= 1, F.col(name)).otherwise(F.concat_ws("_part", name, F.pmod(F.xxhash64(order), many).cast("string"))))
 
-    written = cut_lineage(rows.mapInArrow(run, "tile_id string, save_path string, n_in_file long"))
-    whole = index.drop("n_files").join(written, "tile_id").orderBy("i", "j", "k", "save_path")
+
+def write_tiles(points: DataFrame, folder: str, size: float, overlap: float = 0.0, least: int = 1, most_points: int = 1_000_000, order: str = "pid", fields: list[tuple[str, str]] | None = None) -> DataFrame:
+    """Cut a cloud into cubes and write each with at least `least` points as PLY; below folder there are `tiles/*.ply`
+    and `index`, a CSV with a row for each file (and header). The index's rows are returned as written.
+
+    A tile of more than most_points is dealt to several files by the hash of its points' `order`, a unique id, by which
+    the points of a file are sorted. fields: properties besides x, y, z. The index is written after all files are
+    whole, so it never names one that is not."""
+    fields = fields or []
+    properties = [*[(a, "double") for a in XYZ], *fields]
+    keep = list(dict.fromkeys([order, *XYZ, *[f for f, _ in fields]]))
+    placed = cut_lineage(tile_points(points.select(*keep), size, overlap))
+    index = cut_lineage(tile_index(placed, least))
+    dealt = cut_lineage(_dealt(placed.join(index.select("i", "j", "k", "tile_id", "n_points"), ["i", "j", "k"]), "tile_id", "n_points", most_points, order))
+    written = write_point_files(dealt, f"{folder}/tiles", properties, order)
+    whole = index.join(dealt.select("tile_id", "file").distinct(), "tile_id").join(written, "file").drop("file").orderBy("i", "j", "k", "save_path")
     whole.write.mode("overwrite").option("header", True).csv(f"{folder}/index")
     return points.sparkSession.read.schema(whole.schema).option("header", True).csv(f"{folder}/index")
 
 
+def write_cubes(points: DataFrame, folder: str, name: str, size: float, stride: float | None = None, least: int = 500, most_points: int = 1_000_000, inits: int = 10, rounds: int = 15, order: str = "pid") -> DataFrame:
+    """Cut a cloud with normals (order, x, y, z, nx, ny, nz) into cubes of `size` every `stride`, find the directions of
+    the normals of each cube with `least` points or more, and write these as PLY in the colours of their directions.
+    Below folder there are `cubes/*.ply`, named after place, size, number of points and directions, and `manifest`, a
+    CSV with a row for each file. The manifest's rows are returned as written.
+
+    Cubes begin before the cloud's upper corner; one of more than most_points has several files."""
+    from strataspark.operators.directions import evaluate, label_colours, text_of
+
+    stride = stride or size
+    high = points.agg(*[F.max(a).alias(f"_h{a}") for a in XYZ])
+    placed = tile_points(points.select(order, *XYZ, "nx", "ny", "nz"), size, size - stride).crossJoin(F.broadcast(high))
+    for a in XYZ:
+        placed = placed.where(F.col(f"o{a}") < F.col(f"_h{a}"))
+    place = ["i", "j", "k"]
+    sizes = placed.groupBy(*place).agg(F.count("*").alias("n_points"), *[F.first(f"o{a}").alias(f"{a}0") for a in XYZ]).where(F.col("n_points") >= least)
+    kept = cut_lineage(placed.join(sizes, place).drop("ox", "oy", "oz", "_hx", "_hy", "_hz"))
+    normals = kept.select(*place, order, *[F.col(f"n{a}").alias(a) for a in XYZ])
+    groups, labels = evaluate(normals, place, inits, rounds, key=order)
+    number = lambda c: F.regexp_replace(F.round(c, 3).cast("string"), r"\.0$", "")
+    title = F.concat_ws("_", F.lit(f"{name}_Cube"), *[F.concat(F.lit(a), F.col(k).cast("string")) for a, k in zip(XYZ, "ijk", strict=True)], *[F.concat(F.lit(a.upper()), number(f"{a}0")) for a in XYZ], F.lit(f"S{size:g}"), F.lit(f"T{stride:g}"), F.concat(F.lit("N"), F.col("n_points").cast("string")), F.concat(F.lit("K"), F.col("best_k").cast("string")))
+    manifest = cut_lineage(text_of(groups).drop("n").join(kept.select(*place, "n_points", "x0", "y0", "z0").distinct(), place).withColumn("cube", title))
+    dealt = _dealt(kept.drop("x0", "y0", "z0").join(labels, [*place, order]).join(manifest.select(*place, "cube"), place), "cube", "n_points", most_points, order)
+    dealt = cut_lineage(dealt.select("*", *label_colours(F.col("label"))))
+    properties = [*[(a, "double") for a in (*XYZ, "nx", "ny", "nz")], *[(c, "uchar") for c in COLOURS]]
+    written = write_point_files(dealt, f"{folder}/cubes", properties, order)
+    rows = manifest.join(dealt.select("cube", "file").distinct(), "cube").join(written, "file")
+    whole = rows.select(F.lit(name).alias("src_file"), F.col("save_path").alias("cube_file"), *[F.col(k).alias(f"i{a}") for a, k in zip(XYZ, "ijk", strict=True)], "x0", "y0", "z0", F.lit(size).alias("cube_size"), F.lit(stride).alias("stride"), "n_points", "n_in_file", "best_k", "score", F.col("kind").alias("score_kind"), "is_clustered", "proportions", "pair_angles_deg", "centers").orderBy("ix", "iy", "iz", "cube_file")
+    whole.write.mode("overwrite").option("header", True).csv(f"{folder}/manifest")
+    return points.sparkSession.read.schema(whole.schema).option("header", True).csv(f"{folder}/manifest")
+
+
 def read_bodies(spark, folder: str, element: str = "vertex") -> DataFrame:
     """file (name without ending), <element>_index and the element's properties of all files below folder."""
     register(spark)

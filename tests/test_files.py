@@ -176,3 +176,23 @@ def test_a_hot_tile_has_several_files(spark, tmp_path):
     big = [r for r in index if r.n_points == 1800]
     assert len(index) == 7 and len(big) == 6 and sum(r.n_in_file for r in big) == 1800
     assert bodies.read_bodies(spark, f"{tmp_path}/tiles").count() == 2000
+
+
+def test_cubes_with_their_directions(spark, tmp_path):
+    """Cubes of one, two and three directions are told apart; the manifest, the files' names and colours agree."""
+    rng = np.random.default_rng(3)
+    axes = {0: [(0, 0, 1)], 1: [(0, 0, 1), (1, 0, 0)], 2: [(0, 0, 1), (1, 0, 0), (0, 1, 0)]}
+    rows = []
+    for cube, directions in axes.items():
+        for k in range(120):
+            n = np.array(directions[k % len(directions)]) + rng.normal(scale=0.03, size=3)
+            rows.append((len(rows), *map(float, rng.uniform(0.5, 9.5, 3) + [10 * cube, 0, 0]), *map(float, n * rng.choice([-1, 1]) * 2)))
+    rows += [(1000, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0), (1001, 29.9, 9.9, 9.9, 0.0, 0.0, 1.0)]
+    points = spark.createDataFrame(rows, "pid long, x double, y double, z double, nx double, ny double, nz double")
+    got = sorted(bodies.write_cubes(points, f"file://{tmp_path}", "cloud", 10.0, least=50, inits=3, rounds=4).collect(), key=lambda r: r.ix)
+    assert [(r.ix, r.iy, r.iz, r.best_k, r.is_clustered) for r in got] == [(0, 0, 0, 1, True), (1, 0, 0, 2, True), (2, 0, 0, 3, True)]
+    assert [len(r.proportions.split(";")) for r in got] == [1, 2, 3] and all(abs(float(p) - 1 / r.best_k) < 0.01 for r in got for p in r.proportions.split(";"))
+    assert got[0].pair_angles_deg in (None, "") and all(abs(float(a) - 90) < 3 for r in got[1:] for a in r.pair_angles_deg.split(";"))
+    assert got[1].cube_file.endswith("/cubes/cloud_Cube_x1_y0_z0_X10_Y0_Z0_S10_T10_N120_K2.ply") and got[0].score_kind == "dispersion" and got[2].score_kind == "silhouette"
+    held = {r.file[:14]: r for r in bodies.read_bodies(spark, f"{tmp_path}/cubes").groupBy("file").agg(F.count("*").alias("n"), F.count_distinct("red", "green", "blue").alias("colours")).collect()}
+    assert [(held[f"cloud_Cube_x{k}_"].n, held[f"cloud_Cube_x{k}_"].colours) for k in range(3)] == [(121, 1), (120, 2), (121, 3)]
