@@ -6,9 +6,10 @@ under the model of identifiers. Tokens over the threshold become further spans o
 
 Both models are first-order chains over the characters that tokens can hold, counted by Spark from labelled samples
 and smoothed by adding one. The weights are a table of fixed size. Samples are the tokens of the corpus itself (what the
-base patterns find is random, tokens of documents where they find nothing are ordinary; a quarter of the documents is
-held out for measuring), beside samples made by rule: encoded digests of counters as random strings, and names composed
-of common words as identifiers. Each kind of sample has the same part in a model.
+base patterns find is random, tokens of documents where they find nothing are ordinary if they are found often enough,
+for a secret that the patterns miss is found once or twice; a quarter of the documents is held out for measuring), beside
+samples made by rule: encoded digests of counters as random strings, and names composed
+of common words, ruled lines and dates with numbers as ordinary ones. Each kind of sample has the same part in a model.
 
 Spans count code points, end exclusive. Defined cases: a null text is empty; empty texts have no spans and the digest
 of the empty string; repeated rows give repeated rows; an empty table gives an empty result; extra columns are
@@ -82,15 +83,18 @@ def samples(spark: SparkSession, each: int = 4000) -> DataFrame:
     random = spark.range(each).select(F.element_at(digests, (F.col("id") % 4 + 1).cast("int")).alias("token"), F.lit(True).alias("random"))
     word = lambda n: F.element_at(F.array(*map(F.lit, PARTS)), (F.pmod(F.floor(F.col("id") / n), F.lit(len(PARTS))) + 1).cast("int"))
     a, b, c = word(1), word(7), word(61)
-    names = F.array(F.concat(a, F.initcap(b), F.initcap(c)), F.concat_ws("_", a, b, c), F.upper(F.concat_ws("_", a, b, c)), F.concat_ws("-", a, b, c), F.concat(a, b, c), F.concat_ws("/", a, b, c), F.concat(F.initcap(a), F.initcap(b), F.initcap(c), (F.col("id") % 10).cast("string")))
-    plain = spark.range(each).select(F.element_at(names, (F.col("id") % 7 + 1).cast("int")).alias("token"), F.lit(False).alias("random"))
+    id_ = F.col("id")
+    rule = F.repeat(F.element_at(F.array(*map(F.lit, "-_=/+")), (F.floor(id_ / 9) % 5 + 1).cast("int")), (20 + id_ % 21).cast("int"))
+    numbers = F.concat_ws("-", (1900 + id_ % 200).cast("string"), F.lpad((id_ % 12 + 1).cast("string"), 2, "0"), F.lpad((id_ % 28 + 1).cast("string"), 2, "0"), F.lpad((id_ * 7919 % 100000).cast("string"), 8, "0"), F.lpad(id_.cast("string"), 6, "0"))
+    names = F.array(F.concat(a, F.initcap(b), F.initcap(c)), F.concat_ws("_", a, b, c), F.upper(F.concat_ws("_", a, b, c)), F.concat_ws("-", a, b, c), F.concat(a, b, c), F.concat_ws("/", a, b, c), F.concat(F.initcap(a), F.initcap(b), F.initcap(c), (id_ % 10).cast("string")), rule, numbers)
+    plain = spark.range(each).select(F.element_at(names, (id_ % 9 + 1).cast("int")).alias("token"), F.lit(False).alias("random"))
     return random.unionByName(plain)
 
 
-def corpus_samples(docs: DataFrame, least: int = 8) -> DataFrame:
+def corpus_samples(docs: DataFrame, least: int = 8, common: int = 5) -> DataFrame:
     """(token, random, n): tokens of all documents but the held-out ones (crc32 of doc_id mod 4 = 2) with their number of
     occurrences. What the base patterns find is labelled random; tokens of `least` characters or more of documents
-    without any base span are labelled ordinary."""
+    without any base span are labelled ordinary where there are `common` of them or more."""
     text = F.coalesce(F.col("text"), F.lit(""))
     seen = docs.where(~F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))).select(text.alias("text"))
     hits = []
@@ -102,7 +106,7 @@ def corpus_samples(docs: DataFrame, least: int = 8) -> DataFrame:
     found = F.concat(*[F.when(has, tokens).otherwise(none) for has, tokens in hits])
     plain = F.regexp_extract_all("text", F.lit(f"({TOKEN.replace('{20,}', f'{{{least},}}')})"), F.lit(1))
     told = seen.withColumn("found", found).select((F.size("found") > 0).alias("random"), F.when(F.size("found") > 0, F.col("found")).otherwise(plain).alias("tokens"))
-    return told.select("random", F.explode("tokens").alias("token")).groupBy("random", "token").agg(F.count("*").alias("n")).select("token", "random", "n")
+    return told.select("random", F.explode("tokens").alias("token")).groupBy("random", "token").agg(F.count("*").alias("n")).where(F.col("random") | (F.col("n") >= common)).select("token", "random", "n")
 
 
 def train(*labelled: DataFrame) -> list[float]:
