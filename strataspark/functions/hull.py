@@ -31,12 +31,6 @@ def hull2(p: np.ndarray) -> np.ndarray:
     return np.array(lower[:-1] + upper[:-1], dtype=np.int64)
 
 
-def extremes(p: np.ndarray, directions: int = 32) -> np.ndarray:
-    """Indices of points that are extreme in some of the directions: a small set that bounds the hull's diameter."""
-    t = np.arange(directions) * (2 * np.pi / directions)
-    return np.unique(np.argmax(p @ np.array([np.cos(t), np.sin(t)]), axis=0))
-
-
 def area_centroid(poly: np.ndarray) -> tuple[float, np.ndarray]:
     """Signed area and centroid of a polygon (n, 2), by triangles from its first point."""
     q = poly - poly[0]

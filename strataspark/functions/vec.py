@@ -216,28 +216,6 @@ def two_planes(n1: V3, p1: V3, n2: V3, p2: V3, eps: float = 1e-8) -> tuple[V3, V
     return direction, solve3((n1, n2, direction), (n1.dot(p1), n2.dot(p2), F.lit(0.0)), 1e-30)
 
 
-def line_in_ellipse(point: V3, direction: V3, center: V3, u: V3, v: V3, a: Column, b: Column, eps: float = 1e-9) -> tuple[Column, Column]:
-    """Parameters at which a line of the ellipse's plane enters and leaves it; null without an interval over eps."""
-    x0, y0 = (point - center).dot(u), (point - center).dot(v)
-    dx, dy = direction.dot(u), direction.dot(v)
-    qa = dx * dx / (a * a) + dy * dy / (b * b)
-    qb = 2 * (x0 * dx / (a * a) + y0 * dy / (b * b))
-    qc = x0 * x0 / (a * a) + y0 * y0 / (b * b) - 1
-    disc = qb * qb - 4 * qa * qc
-    root = F.sqrt(F.when((disc >= 0) & (qa > 0), disc))
-    low, high = (-qb - root) / (2 * qa), (-qb + root) / (2 * qa)
-    ok = high - low > eps
-    return F.when(ok, low), F.when(ok, high)
-
-
-def overlap(a: tuple[Column, Column], b: tuple[Column, Column], least: float = 1e-6) -> tuple[Column, Column]:
-    """Common part of two intervals, null unless longer than least (and where either is null)."""
-    known = a[0].isNotNull() & b[0].isNotNull()
-    low, high = F.greatest(a[0], b[0]), F.least(a[1], b[1])
-    ok = known & (high - low > least)
-    return F.when(ok, low), F.when(ok, high)
-
-
 def cross_xy(p: V3, q: V3, r: V3, s: V3, tol: float = 1e-3) -> Column:
     """Whether segments pq and rs cross in the XY projection, within tol of their parameters."""
     dx1, dy1, dx2, dy2 = q.x - p.x, q.y - p.y, s.x - r.x, s.y - r.y

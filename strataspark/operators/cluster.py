@@ -203,8 +203,8 @@ def grow_regions(triangles: DataFrame, edges: DataFrame, seed_degrees: float = 1
     least face that is free; a neighbour joins within seed_degrees of the face it is reached from and mean_degrees of the
     region's running mean. One component of the adjacency in a task."""
     label = components(edges, triangles.select(F.col("face").alias("node")))
-    tagged = triangles.join(label.select(F.col("node").alias("face"), "component"), "face")
-    links = edges.join(label.select(F.col("node").alias("a"), "component"), "a")
+    tagged = cut_lineage(triangles.join(label.select(F.col("node").alias("face"), "component"), "face"))
+    links = cut_lineage(edges.join(label.select(F.col("node").alias("a"), "component"), "a"))
     near, mean = math.cos(math.radians(seed_degrees)), math.cos(math.radians(mean_degrees))
 
     def run(key: tuple, faces: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:

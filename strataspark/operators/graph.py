@@ -160,10 +160,12 @@ def _neighbours(pdf: pd.DataFrame) -> dict:
     return out
 
 
-def cliques_of(adjacent: dict, least: int) -> list[list]:
-    """Maximal cliques of at least `least` nodes; branches leave out the neighbours of a node of many candidates."""
+def cliques_of(adjacent: dict, least: int, base: tuple = (), may: set | None = None, done: set | None = None) -> list[list]:
+    """Maximal cliques of at least `least` nodes that hold the nodes of base: extended by nodes of `may` (all by
+    default), and maximal if no node of `done` joins all of them. Branches leave out the neighbours of a node of many
+    candidates."""
     found: list[list] = []
-    stack = [([], set(adjacent), set())]
+    stack = [(list(base), set(adjacent) if may is None else set(may), set(done or ()))]
     while stack:
         clique, may, done = stack.pop()
         if not may:
@@ -177,39 +179,53 @@ def cliques_of(adjacent: dict, least: int) -> list[list]:
     return sorted(found, key=lambda c: (-len(c), c))
 
 
-def maximal_cliques(edges: DataFrame, least: int = 3, most_nodes: int = 5000) -> DataFrame:
-    """(component, clique) for every maximal clique, one component of bounded size in a task."""
+def maximal_cliques(edges: DataFrame, least: int = 3) -> DataFrame:
+    """(component, clique) for every maximal clique of at least `least` nodes (two or more).
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        adjacent = _neighbours(pdf)
-        if len(adjacent) > most_nodes:
-            raise ValueError(f"a component of {len(adjacent)} nodes; the bound is {most_nodes}")
-        found = cliques_of(adjacent, least)
-        return pd.DataFrame({"component": [pdf["component"].iloc[0]] * len(found), "clique": pd.Series(found, dtype=object)})
-
-    return _with_component(edges).groupBy("component").applyInPandas(run, "component long, clique array<long>")
+    Nodes are in order of degree, and a node's task finds the cliques in which it comes first: among its later
+    neighbours, of which there are no more than the square root of twice the number of edges, less those that an earlier
+    neighbour joins. What a task needs to know, the edges between a node's neighbours, are the graph's triangles."""
+    e = cut_lineage(undirected(edges).select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")))
+    both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    degree = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("deg")))
+    side = lambda n: degree.select(F.col("node").alias(n), F.struct("deg", "node").alias(f"r_{n}"))
+    beside = both.join(side("a"), "a").join(side("b"), "b").select(F.col("a").alias("v"), F.col("b").alias("p"), (F.col("r_b") > F.col("r_a")).alias("later"))
+    firsts = cut_lineage(beside.groupBy("v").agg(F.count(F.when(F.col("later"), 1)).alias("n")).where(F.col("n") >= least - 1).select("v"))
+    around = triangles(e).select(F.explode(F.array(*[F.struct(F.col(v).alias("v"), F.col(p).alias("p"), F.col(q).alias("q")) for v, p, q in ("abc", "bac", "cab")])).alias("t")).select("t.*")
+    rows = beside.select("v", "p", F.lit(None).cast("long").alias("q"), "later").unionByName(around.withColumn("later", F.lit(None).cast("boolean"))).join(firsts, "v", "left_semi")
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = int(pdf["v"].iloc[0])
+        own, between = pdf[pdf["q"].isna()], pdf[pdf["q"].notna()]
+        adjacent: dict = {int(p): set() for p in own["p"]}
+        for p, q in zip(between["p"].astype("int64"), between["q"].astype("int64"), strict=True):
+            adjacent[p].add(q)
+            adjacent[q].add(p)
+        later = own["later"].astype(bool)
+        found = cliques_of(adjacent, least, (v,), set(own["p"][later].astype("int64")), set(own["p"][~later].astype("int64")))
+        return pd.DataFrame({"first": [v] * len(found), "clique": pd.Series(found, dtype=object)})
 
-def _with_component(edges: DataFrame) -> DataFrame:
-    e = undirected(edges).select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
-    return e.join(components(e).select(F.col("node").alias("a"), "component"), "a")
+    found = cut_lineage(rows.groupBy("v").applyInPandas(run, "first long, clique array<long>"))
+    label = components(e).select(F.col("node").alias("first"), "component")
+    return found.join(label, "first").select("component", "clique")
 
 
 def exclusive_cliques(edges: DataFrame, least: int = 3) -> DataFrame:
     """(block_id, component, clique): cliques taken greedily, largest first, each less what is taken, while at least
-    `least` nodes are left. Block ids count over components, then the order of taking."""
+    `least` nodes are left. Block ids count over components, then the order of taking. The order of taking makes a
+    component's cliques one task's work; they are found by maximal_cliques()."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         used: set = set()
         rows = []
-        for clique in cliques_of(_neighbours(pdf), least):
+        for clique in sorted((list(map(int, c)) for c in pdf["clique"]), key=lambda c: (-len(c), c)):
             free = [v for v in clique if v not in used]
             if len(free) >= least:
                 used.update(free)
                 rows.append(free)
         return pd.DataFrame({"component": [pdf["component"].iloc[0]] * len(rows), "place": list(range(len(rows))), "clique": pd.Series(rows, dtype=object)})
 
-    taken = _with_component(edges).groupBy("component").applyInPandas(run, "component long, place int, clique array<long>")
+    taken = maximal_cliques(edges, least).groupBy("component").applyInPandas(run, "component long, place int, clique array<long>")
     return taken.withColumn("block_id", F.row_number().over(Window.orderBy("component", "place")) - 1).select("block_id", "component", "clique")
 
 

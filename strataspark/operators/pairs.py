@@ -15,8 +15,8 @@ XYZ = ("x", "y", "z")
 def disk_segments(disks: DataFrame, most: float, extension: float = 2.0, key: str = "id") -> DataFrame:
     """a, b, p1, p2, length: the common segment of every two elliptic disks (key, center, n, u, v structs, ra, rb).
 
-    Candidates are disks whose balls overlap (radius ra times the extension, at most `most`); the line of the two
-    planes is cut with each ellipse, and the common interval is kept where it is longer than 1e-6."""
+    Candidates are disks whose balls overlap (radius: the greater of ra and rb, which is at most `most`, times the extension,
+    so that no ellipse reaches beyond its ball); the line of the two planes is cut with each ellipse, and the common interval is kept where it is longer than 1e-6."""
     balls = disks.select(key, F.col("center.x").alias("x"), F.col("center.y").alias("y"), F.col("center.z").alias("z"), (F.greatest("ra", "rb") * extension).alias("r"))
     pairs = ball_pairs(balls, key, most * extension)
     side = lambda p: disks.select(F.col(key).alias(p), *[F.col(c).alias(f"{p}_{c}") for c in ("center", "n", "u", "v", "ra", "rb")])

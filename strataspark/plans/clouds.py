@@ -22,10 +22,7 @@ CLOUDS = {
 
 def cloud(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     table, columns = CLOUDS[name]
-    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-    view = f"_cloud_{table}"
-    df.createOrReplaceTempView(view)
-    return spark.sql(f"SELECT {columns} FROM {view}")
+    return spark.sql(f"SELECT {columns} FROM {{rows}}", rows=spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
 def sql(*names: str) -> str:

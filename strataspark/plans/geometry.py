@@ -182,7 +182,13 @@ def g2_spanning_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return axis_tree(_normals(spark, sf_dir)).agg(F.count("*").alias("edges"))
 
 
-@query()
+# The next edge of the tree is the least one between parts; lab holds each plane's part.
+@query(
+    sql("planes").replace("WITH ", "WITH RECURSIVE ", 1) + ", n AS (SELECT pid, row_number() OVER (ORDER BY pid) AS k, a / sqrt(a * a + b * b + c * c) AS x, b / sqrt(a * a + b * b + c * c) AS y, c / sqrt(a * a + b * b + c * c) AS z FROM planes),"
+    " e AS (SELECT p.pid AS a, q.pid AS b, p.k AS ka, q.k AS kb, round(1 - abs(p.x * q.x + p.y * q.y + p.z * q.z), 9) AS w FROM n p JOIN n q ON p.pid < q.pid),"
+    " t AS (SELECT range(1, (SELECT count(*) FROM n) + 1) AS lab, NULL::STRUCT(w DOUBLE, a BIGINT, b BIGINT, ka BIGINT, kb BIGINT) AS e UNION ALL SELECT list_transform(t.lab, lambda l: CASE WHEN l = t.lab[q.e.kb] THEN t.lab[q.e.ka] ELSE l END), q.e FROM t, (SELECT min(struct_pack(w := e.w, a := e.a, b := e.b, ka := e.ka, kb := e.kb)) AS e FROM e, t WHERE t.lab[e.ka] <> t.lab[e.kb]) q WHERE q.e IS NOT NULL)"
+    " SELECT e.a AS a, e.b AS b, e.w AS w FROM t WHERE e IS NOT NULL"
+)
 def g2_tree_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The edges of that tree."""
     return axis_tree(_normals(spark, sf_dir))
@@ -215,6 +221,23 @@ def axis_tree(normals: DataFrame) -> DataFrame:
         most = min(1.0, 4 * most)
 
 
+_NEAR = (
+    sql("planes").replace("WITH ", "WITH RECURSIVE ", 1) + ", n AS (SELECT pid, a / sqrt(a * a + b * b + c * c) AS x, b / sqrt(a * a + b * b + c * c) AS y, c / sqrt(a * a + b * b + c * c) AS z FROM planes), t AS (SELECT p.pid AS a, q.pid AS b FROM n p JOIN n q ON p.pid <> q.pid AND (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z) <= 0.0625),"
+    " k AS (SELECT [a, b] AS c FROM t WHERE a < b UNION ALL SELECT list_append(k.c, t.b) FROM k JOIN t ON t.a = k.c[1] AND t.b > k.c[-1] WHERE (SELECT count(*) FROM t s WHERE s.a = t.b AND list_contains(k.c, s.b)) = len(k.c)),"
+    " j AS (SELECT k.c, s.b AS other, count(*) AS hits FROM k JOIN t s ON list_contains(k.c, s.a) GROUP BY k.c, s.b), o AS (SELECT DISTINCT c FROM j WHERE hits = len(c))"
+    " SELECT k.c[1] AS first, k.c[-1] AS last, len(k.c)::BIGINT AS n, list_sum(k.c)::BIGINT AS ids FROM k ANTI JOIN o ON o.c = k.c WHERE len(k.c) >= 3"
+)
+
+
+@query(_NEAR)
+def g3_maximal_cliques(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All maximal cliques of planes with normals near each other."""
+    n = _normals(spark, sf_dir)
+    near = radius_join(n, n, 0.25).where("pid < n_pid").select(F.col("pid").alias("a"), F.col("n_pid").alias("b"))
+    c = graph.maximal_cliques(near)
+    return c.select(F.array_min("clique").alias("first"), F.array_max("clique").alias("last"), F.size("clique").cast("long").alias("n"), F.aggregate("clique", F.lit(0).cast("long"), lambda a, v: a + v).alias("ids"))
+
+
 @query()
 def g3_cliques(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exclusive cliques of planes with normals near each other, a component at a time."""

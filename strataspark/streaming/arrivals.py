@@ -28,3 +28,9 @@ def watch(spark: SparkSession, source: str, target: str, checkpoint: str, size:
         tile_counts(batch, size).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def merged(batches: DataFrame) -> DataFrame:
+    """i, j, k, n_points and the mean over all batches that watch() has written."""
+    mean = lambda a: (F.sum(F.col(a) * F.col("n_points")) / F.sum("n_points")).alias(a)
+    return batches.groupBy(*"ijk").agg(F.sum("n_points").alias("n_points"), *[mean(a) for a in "xyz"])

@@ -79,3 +79,22 @@ def test_orientation(spark):
     got = {r.pid: r.sign for r in facets.propagate_orientation(normals, near).collect()}
     up = np.array([turned[i] * got[i] for i in range(120)])
     assert len(got) == 120 and (up[:, 2] > 0).all()
+
+
+def test_maximal_cliques_of_random_graphs(spark):
+    """Against plain branching over the whole graph, for sizes, isolated parts and repeated edges."""
+    rng = random.Random(5)
+    for n, share in ((14, 0.5), (40, 0.25), (25, 0.7)):
+        pairs = [(a, b) for a in range(n) for b in range(a) if rng.random() < share] + [(100, 101), (101, 102), (102, 100), (200, 201)]
+        adjacent = {}
+        for a, b in pairs:
+            adjacent.setdefault(a, set()).add(b)
+            adjacent.setdefault(b, set()).add(a)
+        edges = spark.createDataFrame(pairs + [(b, a) for a, b in pairs[:20]] + [(3, 3)], "a int, b int")
+        for least in (2, 3, 4):
+            got = graph.maximal_cliques(edges, least).collect()
+            assert sorted(sorted(r.clique) for r in got) == sorted(graph.cliques_of(adjacent, least))
+            assert all(r.component == 100 for r in got if r.clique[0] >= 100 and r.clique[0] < 200)
+        taken = graph.exclusive_cliques(edges).collect()
+        members = [v for r in taken for v in r.clique]
+        assert len(members) == len(set(members)) and all(len(r.clique) >= 3 for r in taken) and [100, 101, 102] in [sorted(r.clique) for r in taken]
