@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import logging
+import re
+import tempfile
 import uuid
 from collections.abc import Callable
 from pathlib import Path
@@ -26,9 +28,13 @@ def source(spark: SparkSession, path: str, config: dict) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that spark.checkpoint.dir names; below the warehouse, which is shared too, where none
-    is named."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A new folder below the one that spark.checkpoint.dir names; a temporary one only where none is named and driver
+    and executors are one process, as in tests."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if top is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        top = tempfile.mkdtemp(prefix="jobs-")
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

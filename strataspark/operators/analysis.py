@@ -76,9 +76,10 @@ def palette_index(df: DataFrame, key: str, order: str, n: int = len(PALETTE)) ->
 
 
 def vertex_offsets(bodies: DataFrame, key: str, count: str) -> DataFrame:
-    """bodies with offset: the number of vertices of all bodies before, by key. One row a body."""
-    before = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    return bodies.withColumn("offset", F.coalesce(F.sum(count).over(before), F.lit(0)))
+    """bodies with offset: the number of vertices of all bodies before, by key."""
+    from strataspark.sources.bodies import offsets
+
+    return offsets(bodies, key, count)
 
 
 def loop_edges(polygons: DataFrame, key: str, ids: str) -> DataFrame:

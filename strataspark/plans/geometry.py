@@ -12,6 +12,7 @@ from strataspark.operators import blocks, facets, graph, pairs, planes, ransac
 from strataspark.operators.graph import cut_lineage
 from strataspark.operators.spatial import radius_join
 from strataspark.plans.clouds import cloud, sql
+from strataspark.plans.spatial import _EIG, _MOM
 from strataspark.plans.vectors import r
 
 QUERIES, ORACLES = {}, {}
@@ -61,7 +62,16 @@ def k5_farthest_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facets.farthest_twice(cloud(spark, sf_dir, "parts"), "grp").select("grp", "v1", "v2", r(F.col("length"), "length"))
 
 
-@query()
+_FACETS = (
+    sql("parts") + _MOM.format(by="grp", src="parts") + _EIG + ", f AS (SELECT g, n, mx, my, mz, vx / vn AS nx, vy / vn AS ny, vz / vn AS nz FROM u), bs AS (SELECT *, sqrt(nx * nx + ny * ny) AS k FROM f), bu AS (SELECT *, ny / k AS ux, -nx / k AS uy FROM bs), bv AS (SELECT *, -nz * uy AS wx, nz * ux AS wy, nx * uy - ny * ux AS wz FROM bu),"
+    " pr AS (SELECT p.grp, (p.x - mx) * ux + (p.y - my) * uy AS s, (p.x - mx) * wx + (p.y - my) * wy + (p.z - mz) * wz AS t, (p.x - mx) * nx + (p.y - my) * ny + (p.z - mz) * nz AS res FROM parts p JOIN bv ON bv.g = p.grp)"
+    + _HULL.replace("SELECT DISTINCT grp, x AS s, y AS t FROM parts", "SELECT DISTINCT grp, s, t FROM pr")
+    + ", ar AS (SELECT grp, sum(s * t2 - s2 * t) / 2 AS area FROM h GROUP BY grp), tr AS (SELECT a.grp, sqrt(max((a.s - b.s) * (a.s - b.s) + (a.t - b.t) * (a.t - b.t))) AS trace FROM h a JOIN h b ON b.grp = a.grp GROUP BY a.grp), rs AS (SELECT grp, stddev_pop(res) AS rms FROM pr GROUP BY grp)"
+    " SELECT f.g AS grp, f.n, round(degrees(acos(least(1, abs(nz)))), 4) + 0.0 AS dip, round(area, 4) + 0.0 AS area, round(trace, 4) + 0.0 AS trace_length, round(trace / 2, 4) + 0.0 AS ellip_a, round(area / (pi() * trace / 2), 4) + 0.0 AS ellip_b, round(rms, 4) + 0.0 AS rms, true AS valid FROM f JOIN ar ON ar.grp = f.g JOIN tr ON tr.grp = f.g JOIN rs ON rs.grp = f.g"
+)
+
+
+@query(_FACETS)
 def k9_characterise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All attributes of each facet."""
     c = facets.characterise(cloud(spark, sf_dir, "parts"), "grp")

@@ -12,6 +12,7 @@ task that is taken again writes it again.
 
 from __future__ import annotations
 
+import io
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 
 from strataspark.operators.graph import cut_lineage
 from strataspark.operators.spatial import XYZ, tile_points
+from strataspark.sources.files import las_bytes
 from strataspark.sources.formats import PLY_TYPES, file_system, register
 
 COLOURS = ("red", "green", "blue")
@@ -200,10 +202,30 @@ def tile_index(placed: DataFrame, least: int) -> DataFrame:
     return tiles.withColumn("tile_id", F.format_string("x%d_y%d_z%d", "i", "j", "k")).select(*INDEX)
 
 
-def write_point_files(rows: DataFrame, folder: str, properties: list[tuple[str, str]], order: str) -> DataFrame:
-    """file, save_path, n_in_file: a binary PLY file of the properties for each value of `file`, its points sorted by
-    order. A file's points are gathered by a task, for its header tells their number: deal large ones to several files
-    first. The files are written when this returns."""
+def _las(columns: dict[str, np.ndarray]) -> bytes:
+    colours = np.stack([columns[c] for c in COLOURS], axis=1) if set(COLOURS) <= columns.keys() else None
+    return las_bytes(*[columns[a] for a in XYZ], colours)
+
+
+def _npz(columns: dict[str, np.ndarray]) -> bytes:
+    """The full point record; columns that are missing are 0, ids -1, planes nan."""
+    n = len(columns["x"])
+    block = lambda names, dtype, none: np.stack([columns.get(c, np.full(n, none)) for c in names], axis=1).astype(dtype)
+    out = io.BytesIO()
+    np.savez(out, coords=block(XYZ, "f8", 0), colors=block(COLOURS, "u1", 0), ids=block(RECORD_IDS, "i4", -1), planes=block("abcd", "f8", np.nan))
+    return out.getvalue()
+
+
+#: Ids of the full point record, in order. Fixed values.
+RECORD_IDS = ("point_id", "joint_id", "joint_cluster_id", "cluster_id")
+_ENCODERS = {"las": _las, "npz": _npz}
+
+
+def write_point_files(rows: DataFrame, folder: str, properties: list[tuple[str, str]], order: str, kind: str = "ply") -> DataFrame:
+    """file, save_path, n_in_file: a file of the properties for each value of `file`, its points sorted by order. kind:
+    ply (binary), las (x, y, z and colours, in steps of a millimetre) or npz (the full point record). A file's points
+    are gathered by a task, for its header tells their number: deal large ones to several files first. The files are
+    written when this returns."""
     ready = rows.repartition("file").sortWithinPartitions("file", order).select("file", *[F.col(p).cast(kind if kind in ("float", "double") else "long").alias(p) for p, kind in properties])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,10 +235,15 @@ def write_point_files(rows: DataFrame, folder: str, properties: list[tuple[str,
         def finish() -> None:
             if gathered:
                 table = pa.Table.from_batches(gathered)
-                out = _Open(folder, table.column("file")[0].as_py(), (table.num_rows, 0, 0), properties, (False, False), True)
-                out.vertices({p: table.column(p).to_numpy() for p, _ in properties})
-                out.close()
-                done.append((out.name, out.path, table.num_rows))
+                name, columns = table.column("file")[0].as_py(), {p: table.column(p).to_numpy() for p, _ in properties}
+                if kind == "ply":
+                    out = _Open(folder, name, (table.num_rows, 0, 0), properties, (False, False), True)
+                    out.vertices(columns)
+                    out.close()
+                    path = out.path
+                else:
+                    path = _whole(folder, f"{name}.{kind}", _ENCODERS[kind](columns))
+                done.append((name, path, table.num_rows))
                 gathered.clear()
 
         for batch in batches:
@@ -237,6 +264,34 @@ def write_point_files(rows: DataFrame, folder: str, properties: list[tuple[str,
     return cut_lineage(ready.mapInArrow(run, "file string, save_path string, n_in_file long"))
 
 
+def _whole(folder: str, name: str, content: bytes) -> str:
+    """Write a file under a name of the task's own, and give it its name once it is whole."""
+    fs, top, _ = file_system(folder)
+    fs.create_dir(top, recursive=True)
+    part = f"{top}/.{name}-{uuid.uuid4().hex}"
+    with fs.open_output_stream(part) as out:
+        out.write(content)
+    fs.move(part, f"{top}/{name}")
+    return f"{top}/{name}"
+
+
+def write_clouds(points: DataFrame, folder: str, by: str, kind: str = "las", most_points: int = 1_000_000, order: str = "pid") -> DataFrame:
+    """file, save_path, n_in_file: a cloud for each value of `by`, as files of this kind; one of more than most_points
+    has several. The columns of the kind's record that points has are written."""
+    record = {"las": (*XYZ, *COLOURS), "npz": (*XYZ, *COLOURS, *RECORD_IDS, *"abcd")}[kind]
+    floats = {*XYZ, *"abcd"}
+    properties = [(c, "double" if c in floats else "int") for c in record if c in points.columns]
+    sizes = points.groupBy(by).agg(F.count("*").alias("_n"))
+    named = points.join(sizes, by).withColumn("_name", F.col(by).cast("string"))
+    return write_point_files(_dealt(named, "_name", "_n", most_points, order), folder, properties, order, kind)
+
+
+def write_xyz(points: DataFrame, path: str, order: str, label: str | None = None) -> None:
+    """Text files of x, y, z and a label in six decimals, in ranges of order, each sorted."""
+    shown = [F.format_string("%.6f", F.col(a)) for a in XYZ] + ([F.col(label).cast("string")] if label else [])
+    points.select(order, F.concat_ws(" ", *shown).alias("line")).repartitionByRange(order).sortWithinPartitions(order).select("line").write.mode("overwrite").text(path)
+
+
 def _dealt(rows: DataFrame, name: str, count: str, most_points: int, order: str) -> DataFrame:
     """rows with `file`: the name, or one of several where the count is over most_points, by the hash of `order`."""
     many = F.ceil(F.col(count) / most_points)

@@ -1,5 +1,6 @@
 """Files in ranges, files of bodies, and tiles: round trips, odd files, and every query over them against DuckDB."""
 
+import math
 import struct
 
 import duckdb
@@ -196,3 +197,21 @@ def test_cubes_with_their_directions(spark, tmp_path):
     assert got[1].cube_file.endswith("/cubes/cloud_Cube_x1_y0_z0_X10_Y0_Z0_S10_T10_N120_K2.ply") and got[0].score_kind == "dispersion" and got[2].score_kind == "silhouette"
     held = {r.file[:14]: r for r in bodies.read_bodies(spark, f"{tmp_path}/cubes").groupBy("file").agg(F.count("*").alias("n"), F.count_distinct("red", "green", "blue").alias("colours")).collect()}
     assert [(held[f"cloud_Cube_x{k}_"].n, held[f"cloud_Cube_x{k}_"].colours) for k in range(3)] == [(121, 1), (120, 2), (121, 3)]
+
+
+def test_las_npz_and_xyz_clouds(spark, tmp_path):
+    points = spark.range(700).select(F.col("id").alias("pid"), F.concat(F.lit("cloud"), (F.col("id") % 3 == 0).cast("int").cast("string")).alias("grp"), (F.col("id") / 8).alias("x"), (-F.col("id") / 4).alias("y"), F.lit(1.5).alias("z"), *[(F.col("id") % 256).cast("int").alias(c) for c in ("red", "green", "blue")], F.col("id").cast("int").alias("point_id"), (F.col("id") % 5).cast("int").alias("joint_id"), F.when(F.col("id") % 2 == 0, 0.5).alias("a"))
+    for most, many in ((1_000_000, 2), (100, 8)):
+        written = bodies.write_clouds(points, f"file://{tmp_path}/las{most}", "grp", "las", most).collect()
+        assert len(written) == many and sum(r.n_in_file for r in written) == 700
+        back = files.read_las(spark, f"{tmp_path}/las{most}", ["x", "y", "z", "red"], split_bytes=500)
+        want = sorted((k / 8, -k / 4, 1.5, k % 256 * 256) for k in range(700))
+        got = sorted(map(tuple, back.collect()))
+        assert all(g == pytest.approx(w, abs=6e-4) for g, w in zip(got, want, strict=True))
+    bodies.write_clouds(points, f"file://{tmp_path}/npz", "grp", "npz")
+    back = files.read_npz(spark, f"file://{tmp_path}/npz/*.npz")
+    row = back.where("point_id = 8").first()
+    assert back.count() == 700 and (row.x, row.y, row.joint_id, row.cluster_id, row.red, row.a) == (1.0, -2.0, 3, -1, 8, 0.5) and math.isnan(row.d)
+    bodies.write_xyz(points, f"file://{tmp_path}/xyz", "pid", "joint_id")
+    text = files.read_xyz(spark, f"file://{tmp_path}/xyz")
+    assert text.count() == 700 and text.where("x = 1.0").first()[:] == (1.0, -2.0, 1.5, 3)
