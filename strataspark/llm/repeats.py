@@ -167,7 +167,8 @@ def _salt(level: int, p: np.ndarray, many: np.ndarray) -> np.ndarray:
 
 def _scan(keyed: DataFrame, kind: Kind, schema: str, emit: Callable, *bitmaps: np.ndarray) -> DataFrame:
     """The rows that emit(symbols, marks, t of the slice's texts, further bitmaps) makes of the texts. Of equal texts
-    mostly one is read: the first two bitmaps tell the texts that occur twice, and the rows that stand for them."""
+    mostly one is read: the first two bitmaps tell the texts that occur twice, and the rows that stand for them and for
+    all other texts of their places."""
     sent = keyed.sparkSession.sparkContext.broadcast(bitmaps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,8 +303,13 @@ def repeated(keyed: DataFrame, kind: Kind, match: Matcher, group: int = GROUP) -
     if window >= 1 << 16:
         raise ValueError("windows have fewer than 65536 symbols")
     sized = lambda df, number: bitmap_of(df, number, bits_for(df.count()))
-    copies = store.put(keyed.groupBy("t").agg(F.count("*").alias("n"), F.min("at_r").alias("stands")).where("n > 1").select("t", "stands"))
-    once = sized(copies, F.xxhash64("t")), sized(copies, F.col("stands"))
+    texts = store.put(keyed.groupBy("t").agg(F.count("*").alias("n"), F.min("at_r").alias("stands")))
+    copies = texts.where("n > 1").select("t", "stands")
+    # a text that occurs once may take the place of one that occurs twice in the first bitmap; its row stands for it
+    bits = bits_for(copies.count())
+    place = F.pmod(F.xxhash64("t"), F.lit(bits))
+    stand = store.put(texts.select("stands", place.alias("place")).join(copies.select(place.alias("place")).distinct(), "place", "left_semi").select("stands"))
+    once = bitmap_of(copies, F.xxhash64("t"), bits), sized(stand, F.col("stands"))
 
     def every(found: Symbols, m: Marks, t: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(m.h.view(np.int64))], names=["h"])
