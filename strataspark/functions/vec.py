@@ -122,9 +122,11 @@ def strike(n: V3) -> Column:
 
 
 def dip_direction(n: V3) -> Column:
-    """Azimuth of the normal's horizontal part, the normal taken upwards."""
+    """Azimuth of the normal's horizontal part, the normal taken upwards; 180 where it is turned from straight down,
+    which makes its zeros negative, and 0 where it is straight up."""
     up = orient(n, axis(2))
-    return F.pmod(F.degrees(F.atan2(up.x, up.y)), F.lit(360.0))
+    down = (n.x == 0) & (n.y == 0) & (n.z < 0)
+    return F.when(down, 180.0).otherwise(F.pmod(F.degrees(F.atan2(up.x, up.y)), F.lit(360.0)))
 
 
 def orientation(n: V3, convention: str = "strike") -> tuple[Column, Column]:

@@ -58,3 +58,12 @@ def test_groups_against_numpy(spark):
         assert r.kind == ("dispersion" if r.best_k == 1 else "silhouette") and r.is_clustered == (r.score >= (0.85 if r.best_k == 1 else 0.35))
         assert all(np.linalg.norm([c.x, c.y, c.z]) == pytest.approx(1) for c in r.centers) and len(r.pair_angles) == {1: 0, 2: 1, 3: 3}[r.best_k]
     assert directions.evaluate(df.limit(0), ["g"], inits=2, rounds=2)[0].count() == 0
+
+
+def test_dip_direction_of_vertical_normals(spark):
+    """Turned from straight down a normal has negative zeros, of which atan2 is 180; Spark's takes them for zeros."""
+    from strataspark.functions.vec import dip_direction, vec
+
+    rows = spark.createDataFrame([(1, 0.0, 0.0, -1.0), (2, 0.0, 0.0, 1.0), (3, 1.0, 0.0, -1.0), (4, 0.0, 1.0, -1.0)], "i int, x double, y double, z double")
+    got = {r.i: r.d for r in rows.select("i", dip_direction(vec("x", "y", "z")).alias("d")).collect()}
+    assert got == {1: 180.0, 2: 0.0, 3: 270.0, 4: 180.0}
