@@ -98,3 +98,12 @@ def test_maximal_cliques_of_random_graphs(spark):
         taken = graph.exclusive_cliques(edges).collect()
         members = [v for r in taken for v in r.clique]
         assert len(members) == len(set(members)) and all(len(r.clique) >= 3 for r in taken) and [100, 101, 102] in [sorted(r.clique) for r in taken]
+
+
+def test_segments_that_meet_within_their_tolerance(spark):
+    """The tolerance is one of the segments' parameters, so long segments reach further than it across their boxes."""
+    from strataspark.operators.pairs import segment_hits
+
+    ends = [(1, 0.0, 0.0, 100.0, 100.0), (2, 100.05, 100.1, 200.0, 0.0), (3, 100.3, 100.6, 200.0, 150.0)]
+    rows = spark.createDataFrame([(i, (a, b, 0.0), (c, d, 0.0)) for i, a, b, c, d in ends], "id long, p1 struct<x:double,y:double,z:double>, p2 struct<x:double,y:double,z:double>")
+    assert {tuple(r) for r in segment_hits(rows, 5.0).collect()} == {(1, 2)}
