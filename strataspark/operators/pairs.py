@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strataspark.functions.vec import cross_xy, in_slab, solve3, vec, vec_of
 from strataspark.operators.cluster import chains, places
 from strataspark.operators.graph import cut_lineage
-from strataspark.operators.spatial import ball_pairs, radius_join
+from strataspark.operators.spatial import ball_pairs, inner_cells, radius_join
 
 XYZ = ("x", "y", "z")
 
@@ -108,7 +108,12 @@ def merge_near(points: DataFrame, tol: float, key: str = "pid") -> DataFrame:
 
 
 def near_other(points: DataFrame, others: DataFrame, tol: float, key: str = "pid") -> DataFrame:
-    """Distinct rows of `others` within tol of some point."""
-    return others.join(radius_join(points.select(key, *XYZ), others.select(key, *XYZ), tol).select(F.col(f"n_{key}").alias(key)).distinct(), key, "left_semi")
-
-
+    """Distinct rows of `others` within tol of some point. Places stand for their rows; where a cell within tol holds a
+    point, its others need no comparison."""
+    asked = cut_lineage(inner_cells(points, tol))
+    told = cut_lineage(inner_cells(others, tol))
+    cells = [c for c in told.columns if c not in XYZ]
+    sure = told.join(asked.select(*cells).distinct(), cells, "left_semi").select(*XYZ)
+    rest = told.join(asked.select(*cells).distinct(), cells, "left_anti").select(*XYZ)
+    found = radius_join(asked.select(*XYZ), rest, tol).select(*[F.col(f"n_{a}").alias(a) for a in XYZ]).distinct()
+    return others.join(sure.unionByName(found), list(XYZ), "left_semi")
