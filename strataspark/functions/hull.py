@@ -5,6 +5,9 @@ Inputs are the points of one facet or block; results are index arrays.
 
 from __future__ import annotations
 
+import functools
+import itertools
+
 import numpy as np
 
 
@@ -43,47 +46,56 @@ def area_centroid(poly: np.ndarray) -> tuple[float, np.ndarray]:
 
 
 def hull3(p: np.ndarray, eps: float = 1e-9) -> np.ndarray:
-    """Triangles (m, 3) of the convex hull of points (n, 3), oriented outwards; empty if they lie in a plane."""
+    """Triangles (m, 3) of the convex hull of points (n, 3), oriented outwards; empty if they lie in a plane. Of the points
+    outside of what is made so far the farthest one is taken next; those inside are dropped."""
     n = len(p)
     scale = max(float(np.ptp(p, axis=0).max(initial=0)), 1e-300)
     tol = eps * scale
     if n < 4:
         return np.zeros((0, 3), dtype=np.int64)
-    a = int(np.argmin(p[:, 0]))
-    b = int(np.argmax(((p - p[a]) ** 2).sum(axis=1)))
-    line = p[b] - p[a]
-    off = np.linalg.norm(np.cross(p - p[a], line), axis=1)
-    c = int(np.argmax(off))
-    if off[c] <= tol * max(np.linalg.norm(line), 1e-300):
+    order = np.lexsort((p[:, 2], p[:, 1], p[:, 0]))
+    q = p[order]
+    # of points that are equally far the first in order, which is no inner point of an edge or face
+    first = lambda far: int(np.argmax(far >= far.max() - tol))
+    a = 0
+    b = first(np.linalg.norm(q - q[a], axis=1))
+    line = (q[b] - q[a]) / max(np.linalg.norm(q[b] - q[a]), 1e-300)
+    off = np.linalg.norm(np.cross(q - q[a], line), axis=1)
+    c = first(off)
+    if off.max() <= tol:
         return np.zeros((0, 3), dtype=np.int64)
-    normal = np.cross(line, p[c] - p[a])
+    normal = np.cross(line, q[c] - q[a])
     normal /= np.linalg.norm(normal)
-    height = (p - p[a]) @ normal
-    d = int(np.argmax(np.abs(height)))
-    if abs(height[d]) <= tol:
+    height = np.abs((q - q[a]) @ normal)
+    d = first(height)
+    if height.max() <= tol:
         return np.zeros((0, 3), dtype=np.int64)
-    center = (p[a] + p[b] + p[c] + p[d]) / 4
-
-    def facing(i: int, j: int, k: int) -> tuple[int, int, int]:
-        m = np.cross(p[j] - p[i], p[k] - p[i])
-        return (i, j, k) if m @ (p[i] - center) > 0 else (i, k, j)
-
-    faces = {facing(a, b, c), facing(a, b, d), facing(a, c, d), facing(b, c, d)}
-    for v in range(n):
-        if v in (a, b, c, d):
-            continue
-        seen = []
-        for f in faces:
-            m = np.cross(p[f[1]] - p[f[0]], p[f[2]] - p[f[0]])
-            length = np.linalg.norm(m)
-            if length > 0 and (p[v] - p[f[0]]) @ m > tol * length:
-                seen.append(f)
-        if not seen:
-            continue
-        edges = {(f[i], f[(i + 1) % 3]) for f in seen for i in range(3)}
-        faces.difference_update(seen)
-        faces.update((i, j, v) for i, j in edges if (j, i) not in edges)
-    return np.array(sorted(faces), dtype=np.int64)
+    center = q[[a, b, c, d]].mean(axis=0)
+
+    def sides(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Unit normals (0 of faces without area) and offsets."""
+        m = np.cross(q[f[:, 1]] - q[f[:, 0]], q[f[:, 2]] - q[f[:, 0]])
+        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+        return m, (m * q[f[:, 0]]).sum(axis=1)
+
+    faces = np.array([[a, b, c], [a, b, d], [a, c, d], [b, c, d]])
+    m, at = sides(faces)
+    faces[m @ center > at] = faces[m @ center > at][:, [0, 2, 1]]
+    m, at = sides(faces)
+    left = np.arange(n)
+    while True:
+        over = q[left] @ m.T - at
+        out = over.max(axis=1)
+        left, over = left[out > tol], over[out > tol]
+        if not len(left):
+            return np.array(sorted(map(tuple, order[faces].tolist())), dtype=np.int64)
+        k = first(over.max(axis=1))
+        seen = over[k] > tol
+        edges = {e for f in faces[seen].tolist() for e in ((f[0], f[1]), (f[1], f[2]), (f[2], f[0]))}
+        new = np.array([(i, j, left[k]) for i, j in sorted(edges) if (j, i) not in edges], dtype=np.int64)
+        more, more_at = sides(new)
+        faces, m, at = np.concatenate([faces[~seen], new]), np.concatenate([m[~seen], more]), np.concatenate([at[~seen], more_at])
+        left = np.delete(left, k)
 
 
 def volume_area(p: np.ndarray, faces: np.ndarray) -> tuple[float, float]:
@@ -165,11 +177,37 @@ def farthest(p: np.ndarray) -> tuple[int, int, float]:
     return int(i), int(j), float(np.sqrt(d2[i, j]))
 
 
+#: Planes of which every four are tried.
+FEW_PLANES = 16
+
+
+@functools.cache
+def _fours(n: int) -> np.ndarray:
+    return np.array(list(itertools.combinations(range(n), 4)))
+
+
 def chebyshev(planes: np.ndarray, rounds: int = 4000) -> tuple[np.ndarray, float]:
-    """Center and radius of about the greatest ball inside half-spaces n.x + d <= 0, by subgradient steps that shrink; radius
-    <= 0 where there is no interior."""
+    """Center and radius of the greatest ball inside half-spaces n.x + d <= 0; radius <= 0 where there is no interior.
+
+    Of few planes every four are tried, as the ball touches four: the best ball that all planes admit, the mean of
+    those of equal radius, is the greatest if the normals that it touches have a sum of 0 with no negative weight. Many
+    planes, and open bodies, go by subgradient steps that shrink, which come near."""
     norm = np.linalg.norm(planes[:, :3], axis=1)
     n, d = planes[:, :3] / norm[:, None], planes[:, 3] / norm
+    if 4 <= len(d) <= FEW_PLANES:
+        four = _fours(len(d))
+        lhs = np.concatenate([n, np.ones((len(d), 1))], axis=1)[four]
+        ok = np.abs(np.linalg.det(lhs)) > 1e-9
+        found = np.linalg.solve(lhs[ok], -d[four[ok]][..., None])[..., 0]
+        tol = 1e-9 * max(float(np.abs(d).max()), 1.0)
+        holds = (found[:, :3] @ n.T + d + found[:, 3:]).max(axis=1, initial=-np.inf) <= tol
+        if holds.any():
+            top = holds & (found[:, 3] >= found[holds, 3].max() - tol)
+            weights = np.linalg.solve(lhs[ok][top].transpose(0, 2, 1), np.array([0.0, 0.0, 0.0, 1.0])[:, None])[..., 0]
+            if (weights >= -1e-9).all(axis=1).any():
+                _, once = np.unique(np.round(found[top] / tol), axis=0, return_index=True)
+                best = found[top][once].mean(axis=0)
+                return best[:3], float(-(n @ best[:3] + d).max())
     x = np.linalg.lstsq(n, -d, rcond=None)[0]
     best, value = x.copy(), float(-(n @ x + d).max())
     size = max(float(np.abs(d).max()), 1.0)

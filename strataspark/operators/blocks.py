@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from strataspark.functions import hull
 from strataspark.functions.vec import three_planes, vec
-from strataspark.operators.graph import closed, components, cut_lineage, exclusive_cliques, face_adjacency, share_two, triangles
+from strataspark.operators.graph import closed, components, cut_lineage, dealt, exclusive_cliques, face_adjacency, share_two, triangles
 from strataspark.operators.pairs import inclusion, mutual, near_other, slab_hits
 from strataspark.operators.spatial import radius_join
 
@@ -55,7 +55,7 @@ def hull_bodies(points: DataFrame, by: str) -> DataFrame:
         return pd.DataFrame({by: [pdf[by].iloc[0]], "n_vertices": [len(used)], "n_faces": [len(f)], "volume": [volume], "area": [area], "vertices": [p[used].tolist()], "faces": [place[f].tolist()]})
 
     kind = dict(points.dtypes)[by]
-    return points.select(by, *XYZ).groupBy(by).applyInPandas(run, f"{by} {kind}, n_vertices long, n_faces long, volume double, area double, vertices array<array<double>>, faces array<array<long>>")
+    return dealt(points.select(by, *XYZ), by).groupBy(by).applyInPandas(run, f"{by} {kind}, n_vertices long, n_faces long, volume double, area double, vertices array<array<double>>, faces array<array<long>>")
 
 
 def interior_points(planes: DataFrame, by: str) -> DataFrame:
@@ -65,7 +65,7 @@ def interior_points(planes: DataFrame, by: str) -> DataFrame:
         x, r = hull.chebyshev(pdf[["a", "b", "c", "d"]].to_numpy())
         return pd.DataFrame({by: [pdf[by].iloc[0]], "x": [x[0]], "y": [x[1]], "z": [x[2]], "radius": [r]})
 
-    return planes.groupBy(by).applyInPandas(run, f"{by} {dict(planes.dtypes)[by]}, x double, y double, z double, radius double")
+    return dealt(planes.select(by, *"abcd"), by).groupBy(by).applyInPandas(run, f"{by} {dict(planes.dtypes)[by]}, x double, y double, z double, radius double")
 
 
 def tetrahedra(bodies: DataFrame, by: str) -> DataFrame:
@@ -169,7 +169,7 @@ def corner_blocks(facets: DataFrame, adjacency: DataFrame, envelope: DataFrame,
         area = abs(hull.area_centroid(q[ring])[0]) if len(ring) > 2 else 0.0
         return pd.DataFrame({"block_id": [pdf["block_id"].iloc[0]], "facet": [pdf["facet"].iloc[0]], "n": [len(ring)], "area": [area], "ring": [p[ring].tolist()]})
 
-    faces = flat.groupBy("block_id", "facet").applyInPandas(face, "block_id int, facet long, n long, area double, ring array<array<double>>").where("n >= 3")
+    faces = dealt(flat, "block_id", "facet").groupBy("block_id", "facet").applyInPandas(face, "block_id int, facet long, n long, area double, ring array<array<double>>").where("n >= 3")
     return blocks, faces
 
 

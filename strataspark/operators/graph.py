@@ -47,6 +47,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """df dealt by a key into as many parts as shuffles have. Adaptive execution puts small parts together, by bytes;
+    groups that take long for their bytes would be one task's work."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def undirected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Distinct edges a < b, without loops."""
     return edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b").distinct()
