@@ -108,7 +108,8 @@ def volume_area(p: np.ndarray, faces: np.ndarray) -> tuple[float, float]:
 
 def delaunay(p: np.ndarray) -> np.ndarray:
     """Triangles (m, 3), counter-clockwise, of distinct points (n, 2): each point opens the triangles whose
-    circumcircle holds it and closes the hole's rim."""
+    circumcircle holds it and closes the hole's rim. Points come from left to right; a triangle whose circle ends left of
+    them is put aside."""
     n = len(p)
     if n < 3:
         return np.zeros((0, 3), dtype=np.int64)
@@ -126,14 +127,20 @@ def delaunay(p: np.ndarray) -> np.ndarray:
         u = np.stack([(c[:, 1] * bb - b[:, 1] * cc) / det, (b[:, 0] * cc - c[:, 0] * bb) / det], axis=1)
         return np.column_stack([a + u, (u * u).sum(axis=1)])
 
-    circle = circles(tri)
+    circle, aside = circles(tri), []
     for v in np.lexsort((q[:n, 1], q[:n, 0])):
+        ahead = q[v, 0] - circle[:, 0]
+        past = (ahead > 0) & (ahead * ahead >= circle[:, 2])
+        if past.any():
+            aside.append(tri[past])
+            tri, circle = tri[~past], circle[~past]
         inside = ((circle[:, :2] - q[v]) ** 2).sum(axis=1) < circle[:, 2] * (1 - 1e-12)
         edges = np.concatenate([tri[inside][:, [0, 1]], tri[inside][:, [1, 2]], tri[inside][:, [2, 0]]])
         have = {tuple(e) for e in edges.tolist()}
         rim = np.array([(i, j, v) for i, j in sorted(have) if (j, i) not in have], dtype=np.int64).reshape(-1, 3)
         tri = np.concatenate([tri[~inside], rim])
         circle = np.concatenate([circle[~inside], circles(rim)]) if len(rim) else circle[~inside]
+    tri = np.concatenate([*aside, tri])
     return tri[(tri < n).all(axis=1)]
 
 

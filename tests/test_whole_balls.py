@@ -71,3 +71,18 @@ def test_hull_has_corners_only():
         f = hull.hull3(p)
         assert len(f) == 12 and len(np.unique(f)) == 8
         assert np.allclose(hull.volume_area(p, f)[0], 64 * 0.37 * 1.11 * 0.93)
+
+
+def test_triangles_are_put_aside(monkeypatch):
+    """Of a long strip of points, a point is compared with the triangles near it, not with all."""
+    rng = np.random.default_rng(2)
+    p = np.column_stack([np.sort(rng.random(1500)) * 400, rng.random(1500)])
+    for f in hull.delaunay(p)[::50]:  # no point in the circle around three
+        a, b, c = p[f]
+        lhs = 2 * np.array([b - a, c - a])
+        center = np.linalg.solve(lhs, [b @ b - a @ a, c @ c - a @ a])
+        assert (np.linalg.norm(p - center, axis=1) >= np.linalg.norm(a - center) * (1 - 1e-6)).all()
+    seen, whole = [], np.concatenate
+    monkeypatch.setattr(np, "concatenate", lambda parts, **k: seen.append(max(map(len, parts))) or whole(parts, **k))
+    hull.delaunay(p)
+    assert np.median(seen) < 300
