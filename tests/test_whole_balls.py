@@ -86,3 +86,17 @@ def test_triangles_are_put_aside(monkeypatch):
     monkeypatch.setattr(np, "concatenate", lambda parts, **k: seen.append(max(map(len, parts))) or whole(parts, **k))
     hull.delaunay(p)
     assert np.median(seen) < 300
+
+
+def test_disks_reach_no_further_than_they_are(spark, monkeypatch):
+    """An extension of the balls makes no more candidates: two crossing disks, and one that others' planes miss."""
+    from pyspark.sql import functions as F
+
+    xyz = lambda *v: F.struct(*[F.col(c).cast("double").alias(a) for c, a in zip(v, "xyz", strict=True)])
+    rows = [(1, 0, 0, 0, 0, 0, 1, 1, 0, 0, 0, 1, 0), (2, 0, 0, 0, 1, 0, 0, 0, 1, 0, 0, 0, 1), (3, 0, 0, 1.5, 0, 0, 1, 1, 0, 0, 0, 1, 0)]
+    d = spark.createDataFrame([tuple(map(float, r)) for r in rows], ", ".join(f"c{i} double" for i in range(13)))
+    disks = d.select(F.col("c0").cast("long").alias("id"), xyz("c1", "c2", "c3").alias("center"), xyz("c4", "c5", "c6").alias("n"), xyz("c7", "c8", "c9").alias("u"), xyz("c10", "c11", "c12").alias("v"), F.lit(1.0).alias("ra"), F.lit(1.0).alias("rb"))
+    made, of = [], pairs.ball_pairs
+    monkeypatch.setattr(pairs, "ball_pairs", lambda balls, key, most: made.append(most) or of(balls, key, most))
+    got = [(r.a, r.b, round(r.length, 6)) for r in pairs.disk_segments(disks, 1.0, 3.0).collect()]
+    assert got == [(1, 2, 2.0)] and made[0] < 1.01
