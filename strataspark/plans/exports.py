@@ -39,7 +39,7 @@ def src1_ply_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = cloud(spark, sf_dir, "parts").withColumn("pid", F.col("pid").cast("int"))
     names = cut_lineage(files.write_ply_binary(p, folder, "grp", [("x", "double"), ("y", "double"), ("z", "double"), ("pid", "int")]))
     back = files.read_ply(spark, folder, ["path", "pid", "x", "y", "z"], split_bytes=700)
-    file = F.regexp_extract("path", r"([^/]*)$", 1).alias("file")
+    file = F.substring_index("path", "/", -1).alias("file")
     return back.select(file, "pid", "x", "y", "z").join(names.select("grp", file), "file").select("grp", F.col("pid").cast("long").alias("pid"), "x", "y", "z")
 
 
@@ -52,8 +52,8 @@ def snk19_tile_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     what the index says."""
     folder = _folder(spark)
     index = bodies.write_tiles(cloud(spark, sf_dir, "pts"), folder, 7.0, 0.0, 20, 300)
-    held = bodies.read_bodies(spark, f"{folder}/tiles").withColumn("tile_id", F.regexp_replace("file", "_part[0-9]+$", ""))
-    sums = held.groupBy("tile_id").agg(F.count("*").alias("n_read"), F.sum("x").alias("sum_x"), F.sum("z").alias("sum_z"))
+    held = bodies.read_bodies(spark, f"{folder}/tiles").groupBy("file").agg(F.count("*").alias("n_read"), F.sum("x").alias("sum_x"), F.sum("z").alias("sum_z"))
+    sums = held.groupBy(F.regexp_replace("file", "_part[0-9]+$", "").alias("tile_id")).agg(*[F.sum(c).alias(c) for c in ("n_read", "sum_x", "sum_z")])
     named = index.groupBy("tile_id").agg(*[F.first(c).alias(c) for c in ("i", "j", "k", "n_points", "origin_x", "min_x", "max_y")], F.count("*").alias("files"), F.sum("n_in_file").alias("in_files"))
     # as many files as their limit asks for, less those that a hash has left empty
     told = F.when((F.col("files") <= F.ceil(F.col("n_points") / 300)) & (F.col("in_files") == F.col("n_points")), F.ceil(F.col("n_points") / 300)).alias("n_files")

@@ -353,4 +353,6 @@ def read_bodies(spark, folder: str, element: str = "vertex") -> DataFrame:
     """file (name without ending), <element>_index and the element's properties of all files below folder."""
     register(spark)
     rows = spark.read.format("ply").option("element", element).load(folder)
-    return rows.withColumn("file", F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1)).drop("path")
+    name = F.substring_index("path", "/", -1)  # a pattern would be sought from every letter of every row's path
+    ending = F.length(F.substring_index(name, ".", -1)) + 1
+    return rows.withColumn("file", F.substring(name, F.lit(1), F.length(name) - ending)).drop("path")

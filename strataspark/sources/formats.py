@@ -4,7 +4,8 @@
     spark.read.format("ply").option("columns", "x,y,z").load("file:///clouds")
 
 A file of fixed records is split into ranges of `splitBytes`; a task reads the header and the records that begin in its
-range, so one large file is read by many tasks and none holds it whole. Records are cut to the columns that are named.
+range, so one large file is read by many tasks and none holds it whole. Where there are very many small ranges, a task
+takes several. Records are cut to the columns that are named.
 firstRecord and lastRecord seek to those records of each file. Elements with lists, and ascii files, have
 no fixed records: one task reads such a file, a piece at a time.
 
@@ -16,6 +17,7 @@ Files are opened by pyarrow's file systems, by URI or path.
 from __future__ import annotations
 
 import io
+import os
 import re
 import struct
 from collections.abc import Iterator
@@ -35,6 +37,10 @@ PLY_TYPES = {
 #: Records that are decoded at once.
 PIECE = 200_000
 SPLIT_BYTES = 64 << 20
+#: Ranges up to this number are a task each; more are put together, up to SPLIT_BYTES a task, and opening a file counts
+#: as so many bytes.
+MOST_TASKS = 256
+OPEN_BYTES = 16 << 10
 #: numpy codes of what Spark has no type for, and the next larger one.
 _WIDER = {"i1": "i2", "u1": "i2", "u2": "i4", "u4": "i8"}
 
@@ -128,13 +134,36 @@ class Files:
 
 
 @dataclass
-class Range(InputPartition):
+class Range:
     path: str
     first: int
     last: int
     size: int
 
 
+@dataclass
+class Ranges(InputPartition):
+    """Ranges of one task: what their paths begin with, and for each the rest of its path, first, last and size."""
+
+    top: str
+    held: list[tuple[str, int, int, int]]
+
+
+def put_together(pieces: list[Range]) -> list[Ranges]:
+    """A range a task, or neighbouring ones together where they are many and small."""
+    top = os.path.commonprefix([pieces[0].path, pieces[-1].path]) if pieces else ""  # paths are sorted
+    weight = lambda p: p.last - p.first + OPEN_BYTES
+    most = 0 if len(pieces) <= MOST_TASKS else min(SPLIT_BYTES, -(-sum(map(weight, pieces)) // MOST_TASKS))
+    tasks, full = [], 0
+    for p in pieces:
+        if not tasks or full + weight(p) > most:
+            tasks.append(Ranges(top, []))
+            full = 0
+        tasks[-1].held.append((p.path[len(top) :], p.first, p.last, p.size))
+        full += weight(p)
+    return tasks
+
+
 class RangeReader(DataSourceReader):
     """Byte ranges of files, for the columns in names; number is the column of a record's number."""
 
@@ -143,8 +172,12 @@ class RangeReader(DataSourceReader):
         self.split = int(options.get("splitBytes", SPLIT_BYTES))
         self.least, self.most = int(options.get("firstRecord", 0)), int(options.get("lastRecord", 1 << 62))
 
-    def partitions(self) -> list[Range]:
-        return [Range(path, at, min(at + self.split, size), size) for path, size in self.files.list() for at in range(0, max(size, 1), self.split)]
+    def partitions(self) -> list[Ranges]:
+        return put_together([Range(path, at, min(at + self.split, size), size) for path, size in self.files.list() for at in range(0, max(size, 1), self.split)])
+
+    def read(self, task: Ranges) -> Iterator[pa.RecordBatch]:
+        for rest, *where in task.held:
+            yield from self.read_range(Range(task.top + rest, *where))
 
     def records(self, piece: Range, at: int, width: int, many: int) -> tuple[int, int]:
         """Numbers (from, to) of the records, `many` of this width from byte `at` on, that begin in the range and are
@@ -171,7 +204,7 @@ class PlyReader(RangeReader):
         super().__init__(files, names, options, f"{element}_index")
         self.element, self.kinds = element, kinds
 
-    def read(self, piece: Range) -> Iterator[pa.RecordBatch]:
+    def read_range(self, piece: Range) -> Iterator[pa.RecordBatch]:
         with self.files.open(piece.path) as file:
             kind, elements, at = read_header(file)
             own = fields_of(elements, self.element)
@@ -317,7 +350,7 @@ _LAS_RGB = {2: 20, 3: 28, 5: 28, 7: 30, 8: 30, 10: 30}
 class LasReader(RangeReader):
     """LAS 1.0 to 1.4 of fixed records; compressed files (LAZ) are refused."""
 
-    def read(self, piece: Range) -> Iterator[pa.RecordBatch]:
+    def read_range(self, piece: Range) -> Iterator[pa.RecordBatch]:
         with self.files.open(piece.path) as file:
             head = file.read_at(min(375, file.size()), 0)
             if head[:4] != b"LASF" or len(head) < 227:
