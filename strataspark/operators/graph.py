@@ -288,11 +288,18 @@ def cycle_bases(edges: DataFrame, by: str) -> DataFrame:
 
 
 def share_two(corners: DataFrame, key: str = "corner", planes: str = "planes") -> DataFrame:
-    """Edges a < b between rows whose arrays of three share two members: joined on each pair of members."""
+    """Edges a < b between rows whose arrays of three share two members: different arrays are joined on each pair of
+    members, and rows meet by their arrays, so that every edge is made once. There are as many edges as the square of the
+    rows of an array: one side is dealt, the other goes to every part."""
     pairs = [(0, 1), (0, 2), (1, 2)]
-    flat = corners.select(key, F.explode(F.array(*[F.struct(F.col(planes)[i].alias("p"), F.col(planes)[j].alias("q")) for i, j in pairs])).alias("pair"))
-    other = flat.select(F.col(key).alias("b"), "pair")
-    return flat.select(F.col(key).alias("a"), "pair").join(other, "pair").where("a < b").select("a", "b").distinct()
+    salts = 16  # parts that the rows of one array are dealt to
+    rows = cut_lineage(corners.select(key, F.col(planes).alias("_own")))
+    flat = rows.select("_own").distinct().select("_own", F.explode(F.array(*[F.struct(F.col("_own")[i].alias("p"), F.col("_own")[j].alias("q")) for i, j in pairs])).alias("pair"))
+    meet = cut_lineage(flat.join(flat.select(F.col("_own").alias("_other"), "pair"), "pair").select("_own", "_other").distinct())
+    left = rows.join(meet, "_own").select(F.col(key).alias("a"), "_other", F.pmod(F.xxhash64(key), F.lit(salts).cast("long")).alias("_salt"))
+    right = rows.select(F.col(key).alias("b"), F.col("_own").alias("_other"), F.explode(F.array(*[F.lit(k).cast("long") for k in range(salts)])).alias("_salt"))
+    by = ("_other", "_salt")
+    return dealt(left, *by).join(dealt(right, *by).hint("merge"), list(by)).where("a < b").select("a", "b")
 
 
 def half_faces(faces: DataFrame) -> DataFrame:
