@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataspark.operators.graph import cut_lineage
+
 PARAMS = ("Gno", "Grid", "Sin", "Ben")
 #: RGB triples for ids, a choice of ours.
 PALETTE = ((230, 25, 75), (60, 180, 75), (255, 225, 25), (0, 130, 200), (245, 130, 48), (145, 30, 180), (70, 240, 240), (240, 50, 230))
@@ -42,10 +44,25 @@ def quantile_bands(df: DataFrame, on: str, by: str, value: str, quantiles: tuple
     return inside.groupBy("band", "q", by).agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
 
 
+def quantile_of(df: DataFrame, value: str, share: float) -> DataFrame:
+    """One row, q: the interpolated quantile, as percentile() gives it. Values are placed by prefix sums of their counts
+    over a range sort, so no task holds all of them."""
+    from strataspark.sources.bodies import offsets
+
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    placed = cut_lineage(offsets(counts, "_v", "_n"))
+    at = placed.agg((F.lit(share) * (F.sum("_n") - 1)).alias("_at"))
+    ends = placed.crossJoin(F.broadcast(at))
+    held = lambda place: F.max(F.when((F.col("offset") <= place) & (F.col("offset") + F.col("_n") > place), F.col("_v")))
+    two = ends.agg(held(F.floor("_at")).alias("low"), held(F.ceil("_at")).alias("high"), F.max("_at").alias("_at"))
+    between = (F.ceil("_at") - F.col("_at")) * F.col("low") + (F.col("_at") - F.floor("_at")) * F.col("high")
+    return two.select(F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(between).alias("q"))
+
+
 def score_cut(df: DataFrame, score: str, quantile: float | None = None, k: float | None = None) -> DataFrame:
     """Rows of at least a quantile of the score, or the mean less k deviations."""
-    limit = F.percentile(score, F.lit(quantile)) if quantile is not None else F.avg(score) - F.lit(k) * F.stddev_pop(score)
-    return df.crossJoin(F.broadcast(df.agg(limit.alias("_limit")))).where(F.col(score) >= F.col("_limit")).drop("_limit")
+    limit = quantile_of(df, score, quantile) if quantile is not None else df.agg((F.avg(score) - F.lit(k) * F.stddev_pop(score)).alias("q"))
+    return df.crossJoin(F.broadcast(limit.select(F.col("q").alias("_limit")))).where(F.col(score) >= F.col("_limit")).drop("_limit")
 
 
 def colour(spec: Column) -> Column:
