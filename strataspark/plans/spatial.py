@@ -319,10 +319,8 @@ def c7_dbscan_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     p = cloud(spark, sf_dir, "planes")
     f = p.select("pid", *[v.alias(a) for v, a in zip(unit(vec("a", "b", "c")).parts(), "xyz", strict=True)], (F.col("d") / 10).alias("w"))
-    told = cut_lineage(cluster.dbscan(f, 0.4, 3, axes=("x", "y", "z", "w")))
-    axes = ("x", "y", "z", "w")
-    core = spatial.radius_join(f, f, 0.4, axes=axes).groupBy("pid").count().where("count >= 3").select("pid")
-    named = told.join(core, "pid").where("cluster IS NOT NULL")
+    told = cut_lineage(cluster.dbscan(f, 0.4, 3, axes=("x", "y", "z", "w"), with_core=True))
+    named = told.where("core")
     return named.join(named.groupBy("cluster").agg(F.min("pid").alias("root")), "cluster").select("pid", "root")
 
 
