@@ -8,7 +8,10 @@ fixed length (iterations), and the counts are sums of arrays' entries by positio
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,28 +114,75 @@ def peel(points: DataFrame, by: list[str], k: int, threshold: float, iterations:
     return out
 
 
+def packs(points: DataFrame, by: list[str], most: int = 20_000) -> DataFrame:
+    """by, points: arrays of (pid, x, y, z), some `most` of a group in a row. They are dealt once; rounds then take
+    whole rows without a shuffle of points."""
+    parts = cut_lineage(points.groupBy(*by).agg(F.ceil(F.count("*") / most).cast("int").alias("_parts")))
+    rows = points.join(parts, by).select(*by, F.pmod(F.xxhash64("pid"), F.col("_parts")).alias("_part"), F.struct("pid", *XYZ).alias("_p"))
+    return cut_lineage(rows.groupBy(*by, "_part").agg(F.collect_list("_p").alias("points")).drop("_part"))
+
+
+def best_of_packs(left: DataFrame, sizes: DataFrame, by: list[str], threshold: float, iterations: int, seed: int, sample: int | None) -> DataFrame:
+    """As best_planes() with strict, of packs(); sizes: by, left, the groups' sizes. Counts are made by numpy, a plane and a
+    pack at a time."""
+    rows = left.select(*by, F.explode("points").alias("_p")).select(*by, "_p.*")
+    if sample is None:
+        numbered = ranked(rows, by)
+    else:  # the least hashes are among those under a bound that a group passes some four times over; else all are taken
+        bound = F.least(F.lit(1.0), 4.0 * sample / F.col("left")) * 2.0**64 - 2.0**63
+        few = rows.join(sizes, by).where(F.xxhash64(F.lit(seed), "pid").cast("double") <= bound)
+        numbered = cut_lineage(sampled(few, by, sample, seed))
+        short = sizes.join(numbered.groupBy(*by).agg(F.count("*").alias("_few")), by, "left").where(F.coalesce("_few", F.lit(0)) < F.least(F.lit(sample), "left"))
+        if not short.isEmpty():
+            numbered = cut_lineage(sampled(rows, by, sample, seed))
+    h = hypotheses(numbered, by, iterations, seed)
+    planes = cut_lineage(h.groupBy(*by).agg(F.collect_list(F.struct("iter", "a", "b", "c", "d")).alias("planes")))  # at most `iterations` entries
+    joined = left.join(planes, by).select(*by, F.transform("points", lambda p: F.struct(*[p[a].alias(a) for a in XYZ])).alias("points"), "planes")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, told, inliers = [], [], []
+            for row in range(batch.num_rows):
+                spots, these = batch.column("points")[row].values, batch.column("planes")[row].values
+                x, y, z = (spots.field(a).to_numpy(zero_copy_only=False) for a in XYZ)
+                for i, a, b, c, d in zip(*[these.field(k).to_pylist() for k in ("iter", "a", "b", "c", "d")], strict=True):
+                    at.append(row)
+                    told.append(i)
+                    inliers.append(int(np.count_nonzero(np.abs(a * x + b * y + c * z + d) < threshold)))
+            groups = batch.select(by).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*groups.columns, pa.array(told, pa.int32()), pa.array(inliers, pa.int64())], names=[*by, "iter", "inliers"])
+
+    kinds = dict(left.dtypes)
+    hits = joined.mapInArrow(counted, ", ".join(f"`{c}` {kinds[c]}" for c in by) + ", iter int, inliers long")
+    counts = hits.groupBy(*by, "iter").agg(F.sum("inliers").alias("inliers")).where("inliers > 0")
+    top = counts.groupBy(*by).agg(F.max(F.struct("inliers", (-F.col("iter")).alias("neg"))).alias("m")).select(*by, (-F.col("m.neg")).alias("iter"), F.col("m.inliers").alias("inliers"))
+    return planes.select(*by, F.explode("planes").alias("_e")).select(*by, "_e.*").join(top, [*by, "iter"])
+
+
 def extract_all(points: DataFrame, threshold: float, iterations: int, share: float = 0.02, stop: int = 1000, seed: int = 0, by: list[str] | None = None, sample: int | None = 10_000) -> DataFrame:
     """Planes of a cloud, or of each group of it, however many, until at most `stop` points are left or a plane holds
     under `share` of those left: by, place, a, b, c, d (d <= 0), inliers, left. Each plane takes points away, so the
     rounds end; all groups go through a round together. sample: as of best_planes()."""
     keys = by or ["_g"]
-    left = cut_lineage(points.select(*keys, "pid", *XYZ) if by else points.select(F.lit(0).alias("_g"), "pid", *XYZ))
+    rows = points.select(*keys, "pid", *XYZ) if by else points.select(F.lit(0).alias("_g"), "pid", *XYZ)
+    left = packs(rows, keys)
     found = []
     for place in itertools.count():
-        sizes = left.groupBy(*keys).agg(F.count("*").alias("left")).where(F.col("left") > stop)
-        left = cut_lineage(left.join(sizes, keys))
-        if left.isEmpty():
+        sizes = cut_lineage(left.groupBy(*keys).agg(F.sum(F.size("points")).alias("left")).where(F.col("left") > stop))
+        if sizes.isEmpty():
             break
-        best = best_planes(left, keys, threshold, iterations, seed + place, strict=True, sample=sample)
+        left = left.join(sizes.select(*keys), keys, "left_semi")
+        best = best_of_packs(left, sizes, keys, threshold, iterations, seed + place, sample)
         turn = F.when(F.col("d") > 0, -1.0).otherwise(1.0)
-        planes = best.join(left.groupBy(*keys).agg(F.first("left").alias("left")), keys).where((F.col("inliers") > 0) & (F.col("inliers") >= share * F.col("left")))
+        planes = best.join(sizes, keys).where((F.col("inliers") > 0) & (F.col("inliers") >= share * F.col("left")))
         planes = cut_lineage(planes.select(*keys, F.lit(place).alias("place"), *[(F.col(c) * turn).alias(c) for c in "abcd"], "inliers", "left"))
         if planes.isEmpty():
             break
         found.append(planes)
-        left = cut_lineage(left.drop("left").join(planes.select(*keys, *"abcd"), keys).where(plane_distance() >= threshold).select(*keys, "pid", *XYZ))
+        off = lambda p: F.abs(F.col("a") * p["x"] + F.col("b") * p["y"] + F.col("c") * p["z"] + F.col("d")) >= threshold
+        left = cut_lineage(left.join(planes.select(*keys, *"abcd"), keys).select(*keys, F.filter("points", off).alias("points")))
     if not found:
-        kinds = dict(left.dtypes)
+        kinds = dict(rows.dtypes)
         empty = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "place int", *[f"{c} double" for c in "abcd"], "inliers long", "left long"])
         return points.sparkSession.createDataFrame([], empty).drop("_g")
     out = found[0]
