@@ -100,3 +100,18 @@ def test_disks_reach_no_further_than_they_are(spark, monkeypatch):
     monkeypatch.setattr(pairs, "ball_pairs", lambda balls, key, most: made.append(most) or of(balls, key, most))
     got = [(r.a, r.b, round(r.length, 6)) for r in pairs.disk_segments(disks, 1.0, 3.0).collect()]
     assert got == [(1, 2, 2.0)] and made[0] < 1.01
+
+
+def test_disks_go_with_their_balls(spark):
+    """No join follows the one of the balls, and steps of the formula are no tables: candidates are neither shuffled nor written."""
+    from pyspark.sql import functions as F
+
+    xyz = lambda *v: F.struct(*[F.lit(float(c)).alias(a) for c, a in zip(v, "xyz", strict=True)])
+    at = F.struct(F.col("id").cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+    flat, up = [(0, 0, 1), (1, 0, 0), (0, 1, 0)], [(0, 1, 0), (1, 0, 0), (0, 0, -1)]
+    turn = lambda k: F.when(F.col("id") % 2 == 0, xyz(*flat[k])).otherwise(xyz(*up[k]))
+    disks = spark.range(6).select("id", at.alias("center"), *[turn(k).alias(c) for k, c in enumerate("nuv")], F.lit(0.8).alias("ra"), F.lit(0.8).alias("rb"))
+    told = pairs.disk_segments(disks, 1.0)
+    plan = told._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "parquet" not in plan
+    assert sorted((r.a, r.b, round(r.length, 6)) for r in told.collect()) == [(i, i + 1, 0.6) for i in range(5)]
