@@ -107,3 +107,28 @@ def test_segments_that_meet_within_their_tolerance(spark):
     ends = [(1, 0.0, 0.0, 100.0, 100.0), (2, 100.05, 100.1, 200.0, 0.0), (3, 100.3, 100.6, 200.0, 150.0)]
     rows = spark.createDataFrame([(i, (a, b, 0.0), (c, d, 0.0)) for i, a, b, c, d in ends], "id long, p1 struct<x:double,y:double,z:double>, p2 struct<x:double,y:double,z:double>")
     assert {tuple(r) for r in segment_hits(rows, 5.0).collect()} == {(1, 2)}
+
+
+def test_crossing_segments_come_once_without_a_shuffle_of_pairs(spark):
+    """Segments of very unlike lengths, points among them: a pair is told in one of the cells that both are in."""
+    import random
+
+    from strataspark.operators.pairs import segment_hits
+
+    rng = random.Random(12)
+    ends = [(i, *(p := (rng.uniform(-9, 9), rng.uniform(-9, 9))), *(c + rng.uniform(-1, 1) * rng.choice([0.3, 2, 15]) for c in p)) for i in range(120)] + [(200, 1.0, 1.0, 1.0, 1.0)]
+    rows = spark.createDataFrame([(i, (a, b, 0.0), (c, d, 0.0)) for i, a, b, c, d in ends], "id long, p1 struct<x:double,y:double,z:double>, p2 struct<x:double,y:double,z:double>")
+
+    def cross(p, q):
+        dx1, dy1, dx2, dy2 = p[3] - p[1], p[4] - p[2], q[3] - q[1], q[4] - q[2]
+        det = dx1 * dy2 - dy1 * dx2
+        if abs(det) <= 1e-12:
+            return False
+        t, k = ((q[1] - p[1]) * dy2 - (q[2] - p[2]) * dx2) / det, ((q[1] - p[1]) * dy1 - (q[2] - p[2]) * dx1) / det
+        return -1e-3 <= t <= 1.001 and -1e-3 <= k <= 1.001
+
+    want = sorted((p[0], q[0]) for p in ends for q in ends if p[0] < q[0] and cross(p, q))
+    told = segment_hits(rows, 5.0)
+    assert len(want) > 100 and sorted(map(tuple, told.collect())) == want
+    assert "Aggregate" not in told._jdf.queryExecution().optimizedPlan().toString()
+    assert segment_hits(rows.where("id < 0"), 5.0).count() == 0 and segment_hits(rows.where("id = 200"), 5.0).count() == 0
